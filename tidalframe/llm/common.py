@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +68,8 @@ def crc_mod(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the folds of the classifiers."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(col.cast("string")) % modulus
+
+
+def worker_state() -> dict:
+    """What one Python worker keeps from task to task, such as loaded tokenizers."""
+    return sys.modules.setdefault("tidalframe_worker_state", types.ModuleType("tidalframe_worker_state")).__dict__

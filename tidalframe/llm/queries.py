@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import decontaminate, mixing, sharding, simhash, tokens
 
 
 def queries() -> dict:
     return {
+        "op2_mix": mixing.op2_mix,
+        "op3_simhash": simhash.op3_simhash,
+        "op5_tokens": tokens.op5_tokens,
         "op9_shards": sharding.op9_shards,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix": mixing.OP2_SQL}
