@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,16 @@ def crc_mod(id_col: str | Column, modulus: int) -> Column:
 def worker_state() -> dict:
     """What one Python worker keeps from task to task, such as loaded tokenizers."""
     return sys.modules.setdefault("tidalframe_worker_state", types.ModuleType("tidalframe_worker_state")).__dict__
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """``value`` broadcast by value, classes of this package and all."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(broadcast: Broadcast) -> object:
+    """What ``share`` was given; a worker keeps the last one from task to task."""
+    state, packed = worker_state(), broadcast.value
+    if state.get("packed") != packed:
+        state["packed"], state["shared"] = packed, cloudpickle.loads(packed)
+    return state["shared"]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext
-from .common import documents, dropped, written
+from .common import documents, dropped, share, shared_value, written
 
 #: Words of a window.
 WINDOW = 8
@@ -91,7 +91,7 @@ def _scan(windows: Windows, low: np.ndarray, starts: np.ndarray, ends: np.ndarra
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch], text_col: str, shared, first: bool, last: bool, min_items: int, clean: bool) -> Iterator[pa.RecordBatch]:
-    windows: Windows = shared.value
+    windows: Windows = shared_value(shared)
     for batch in batches:
         for part in bytetext.parts(batch, text_col):
             yield _marked(part, text_col, windows, first, last, min_items, clean)
@@ -208,7 +208,7 @@ def decontaminate(
                 fields += [T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("clean_text", T.StringType())]
         else:
             fields += [T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
-        shared = spark.sparkContext.broadcast(Windows(block, window))
+        shared = share(spark, Windows(block, window))
 
         def scan(batches, shared=shared, first=first, last=last):
             return _scan_batches(batches, text_col, shared, first, last, min_items, clean)

@@ -149,9 +149,9 @@ c AS (
          sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS weights
   FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, CAST(total - capped AS DOUBLE) / weights AS level,
-             row_number() OVER (ORDER BY cap / weight, source ASC NULLS LAST) AS at FROM c),
-m AS (SELECT *, min(CASE WHEN level * weight <= cap THEN at END) OVER () AS first_fit FROM l),
-f AS (SELECT *, max(CASE WHEN at = first_fit THEN level END) OVER () AS final FROM m),
+             row_number() OVER (ORDER BY cap / weight, source ASC NULLS LAST) AS pos FROM c),
+m AS (SELECT *, min(CASE WHEN level * weight <= cap THEN pos END) OVER () AS first_fit FROM l),
+f AS (SELECT *, max(CASE WHEN pos = first_fit THEN level END) OVER () AS final FROM m),
 t AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(final * weight, CAST(cap AS DOUBLE))) AS target FROM f),
 p AS (

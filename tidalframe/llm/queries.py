@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash, tokens
+from . import decontaminate, embeddings, langid, mixing, quality, sharding, simhash, tokens, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_langid": langid.op1_langid,
         "op2_mix": mixing.op2_mix,
         "op3_simhash": simhash.op3_simhash,
+        "op4_embeddings": embeddings.op4_embeddings,
         "op5_tokens": tokens.op5_tokens,
+        "op6_quality": quality.op6_quality,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_shards": sharding.op9_shards,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
