@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, mixing, quality, sharding, simhash, tokens, toxicity
+from . import decontaminate, embeddings, langid, lines, mixing, quality, sharding, simhash, tokens, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_tokens": tokens.op5_tokens,
         "op6_quality": quality.op6_quality,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_lines": lines.op8_lines,
         "op9_shards": sharding.op9_shards,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
