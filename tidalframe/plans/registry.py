@@ -1,11 +1,17 @@
-"""The reference-derived and baseline queries, with their oracles."""
+"""The reference-derived and baseline queries, each beside its DuckDB oracle."""
 
 from __future__ import annotations
 
+from . import baseline, framing, ordered, spectral
+
+
+def _all() -> dict:
+    return {**spectral.QUERIES, **ordered.QUERIES, **framing.QUERIES, **baseline.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _all().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql}
