@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 FLOOR = 1e-30
 #: Shares of a band's energy that spread to the next and the previous band.
 SPREAD_UP, SPREAD_DOWN = 0.15, 0.05
-BAND = Window.partitionBy("frame", "ch").orderBy("band")
 
 
 def band_measures(banded: DataFrame) -> DataFrame:
@@ -29,7 +28,8 @@ def band_measures(banded: DataFrame) -> DataFrame:
 
 def masking(measures: DataFrame) -> DataFrame:
     """``measures`` with threshold: what the neighbours' spread energy hides, at most the band's own."""
-    spread = F.col("energy") + F.coalesce(F.lag("energy").over(BAND), F.lit(0.0)) * SPREAD_UP + F.coalesce(F.lead("energy").over(BAND), F.lit(0.0)) * SPREAD_DOWN
+    order = Window.partitionBy("frame", "ch").orderBy("band")
+    spread = F.col("energy") + F.coalesce(F.lag("energy").over(order), F.lit(0.0)) * SPREAD_UP + F.coalesce(F.lead("energy").over(order), F.lit(0.0)) * SPREAD_DOWN
     least = F.col("width") * 1e-9 * F.pow(1 + F.col("band") * 0.08, F.lit(2.0))
     hidden = F.greatest(spread * (0.16 - 0.13 * F.col("tonality")), least)
     return measures.withColumn("threshold", F.least(hidden, F.greatest(F.col("energy"), least)))

@@ -5,14 +5,19 @@ Signals are (stream, t, v). A window sorts each stream once; nothing is collecte
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fold import ordered_scan
 
-STREAM = Window.partitionBy("stream").orderBy("t")
-SO_FAR = STREAM.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_stream() -> WindowSpec:
+    return Window.partitionBy("stream").orderBy("t")
+
+
+def so_far() -> WindowSpec:
+    return in_stream().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def delta_decoded(rows: DataFrame, gain: int) -> DataFrame:
@@ -22,32 +27,32 @@ def delta_decoded(rows: DataFrame, gain: int) -> DataFrame:
     are relative to 60 and values to 100.
     """
     word = F.col("word") - 60
-    of = lambda kind: F.sum(F.when(F.col("kind") == kind, word).otherwise(0)).over(SO_FAR)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, word).otherwise(0)).over(so_far())
     value = F.when(F.col("kind") == "spectral", of("spectral") + gain - 100).when(F.col("kind") == "intensity", of("intensity") - 100).when(F.col("kind") == "noise", word + gain - 100).otherwise(0)
     return rows.withColumn("value", value.cast("long"))
 
 
 def running_total(rows: DataFrame, start: int) -> DataFrame:
     """``rows`` (stream, t, word) with value: ``start`` plus all words after the first, which is implied."""
-    return rows.withColumn("value", (F.sum(F.when(F.col("t") == 0, 0).otherwise(F.col("word"))).over(SO_FAR) + start).cast("long"))
+    return rows.withColumn("value", (F.sum(F.when(F.col("t") == 0, 0).otherwise(F.col("word"))).over(so_far()) + start).cast("long"))
 
 
 def run_lengths(rows: DataFrame) -> DataFrame:
     """(stream, pos, code): each (stream, t, code, n) repeated ``n`` times at running positions."""
-    start = F.coalesce(F.sum("n").over(STREAM.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum("n").over(in_stream().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("start", start).where("n > 0")
     return placed.select("stream", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"), "code")
 
 
 def delayed(signal: DataFrame, n: int, epoch: Column | None = None) -> DataFrame:
     """``signal`` with delayed: the value ``n`` rows before, 0 before the start of the stream or its epoch."""
-    by = Window.partitionBy("stream", epoch).orderBy("t") if epoch is not None else STREAM
+    by = Window.partitionBy("stream", epoch).orderBy("t") if epoch is not None else in_stream()
     return signal.withColumn("delayed", F.lag("v", n, 0.0).over(by))
 
 
 def running_peak(signal: DataFrame, attack: int) -> DataFrame:
     """``signal`` with peak: the largest of 1 and |v| over this row and the ``attack`` before."""
-    return signal.withColumn("peak", F.greatest(F.lit(1.0), F.max(F.abs("v")).over(STREAM.rowsBetween(-attack, 0))))
+    return signal.withColumn("peak", F.greatest(F.lit(1.0), F.max(F.abs("v")).over(in_stream().rowsBetween(-attack, 0))))
 
 
 def limited(signal: DataFrame, attack: int, release: int) -> DataFrame:
@@ -109,8 +114,8 @@ def concealed(signal: DataFrame, fade: float, most: int) -> DataFrame:
     The k-th lost row in a row gets it times ``fade``^k, and 0 from the one after ``most`` on; before
     any good row it is 0.
     """
-    good = F.last("v", ignorenulls=True).over(SO_FAR)
-    at = F.last(F.when(F.col("v").isNotNull(), F.col("t")), ignorenulls=True).over(SO_FAR)
+    good = F.last("v", ignorenulls=True).over(so_far())
+    at = F.last(F.when(F.col("v").isNotNull(), F.col("t")), ignorenulls=True).over(so_far())
     k = F.col("t") - F.coalesce(F.col("at"), F.lit(-1))
     rows = signal.withColumns({"good": good, "at": at})
     filled = F.when(k > most, 0.0).otherwise(F.coalesce("good", F.lit(0.0)) * F.pow(F.lit(fade), k))
@@ -120,7 +125,7 @@ def concealed(signal: DataFrame, fade: float, most: int) -> DataFrame:
 def recovered(signal: DataFrame, fade: float, most: int) -> DataFrame:
     """(stream, t, factor): where the fade-in of each good row after losses starts; 1 without losses."""
     lost = F.when(F.col("v").isNull(), 1).otherwise(0)
-    at = F.last(F.when(F.col("v").isNotNull(), F.col("t")), ignorenulls=True).over(STREAM.rowsBetween(Window.unboundedPreceding, -1))
+    at = F.last(F.when(F.col("v").isNotNull(), F.col("t")), ignorenulls=True).over(in_stream().rowsBetween(Window.unboundedPreceding, -1))
     rows = signal.withColumns({"lost": lost, "gap": F.col("t") - F.coalesce(at, F.lit(-1)) - 1}).where("v is not null")
     return rows.select("stream", "t", F.when(F.col("gap") == 0, 1.0).otherwise(F.pow(F.lit(fade), F.least(F.col("gap"), F.lit(most)))).alias("factor"))
 
@@ -154,14 +159,14 @@ def losses(rows: DataFrame, rate: int, bitrate: int, samples: int) -> DataFrame:
 
 def epochs(rows: DataFrame, config: str) -> DataFrame:
     """``rows`` with epoch: how often ``config`` has changed so far in the stream."""
-    before = F.lag(config).over(STREAM)
+    before = F.lag(config).over(in_stream())
     changed = F.when(before.isNull() | before.eqNullSafe(F.col(config)), 0).otherwise(1)
-    return rows.withColumn("__c", changed).withColumn("epoch", F.sum("__c").over(SO_FAR).cast("long")).drop("__c")
+    return rows.withColumn("__c", changed).withColumn("epoch", F.sum("__c").over(so_far()).cast("long")).drop("__c")
 
 
 def carried(rows: DataFrame, value: str, set_when: Column, seconds: int) -> DataFrame:
     """``rows`` with carried: the last value set, while it is at most ``seconds`` old."""
-    known = F.last(F.when(set_when, F.struct(F.col(value).alias("v"), "ts")), ignorenulls=True).over(SO_FAR)
+    known = F.last(F.when(set_when, F.struct(F.col(value).alias("v"), "ts")), ignorenulls=True).over(so_far())
     age = F.timestamp_diff("MICROSECOND", known["ts"], F.col("ts"))
     return rows.withColumn("carried", F.when(age <= seconds * 1_000_000, known["v"]))
 

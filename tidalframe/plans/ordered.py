@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import gain as G
@@ -118,7 +119,7 @@ def unit_stats(spark, d):
 
 def running_rate(spark, d):
     p = packets(spark, d)
-    order = O.Window.partitionBy("unit").orderBy("sub")
+    order = Window.partitionBy("unit").orderBy("sub")
     return p.select("unit", "sub", F.sum("bytes").over(order).cast("long").alias("so_far"), (F.col("bytes") - F.lag("bytes", 1, 0).over(order)).cast("long").alias("change"), F.round(F.sum("bits").over(order) * 44100.0 / (1024 * (F.col("sub") + 1)), 4).alias("rate"))
 
 
@@ -131,14 +132,14 @@ def metadata_ttl(spark, d):
 
 
 def metadata_merge(spark, d):
-    known = F.last(F.when(F.col("kind") == "signup", F.col("v")), ignorenulls=True).over(O.SO_FAR)
-    return signal(spark, d).select("stream", "t", F.coalesce(known, F.lit(0.0)).alias("merged"), F.lag("kind", 2).over(O.STREAM).alias("late_kind"))
+    known = F.last(F.when(F.col("kind") == "signup", F.col("v")), ignorenulls=True).over(O.so_far())
+    return signal(spark, d).select("stream", "t", F.coalesce(known, F.lit(0.0)).alias("merged"), F.lag("kind", 2).over(O.in_stream()).alias("late_kind"))
 
 
 def energy_between(spark, d):
     """Geometric mean of the neighbours' energies where a row is lost: a look-ahead of one row."""
     e = F.col("v") * F.col("v")
-    rows = _gappy(spark, d).withColumns({"before": F.lag(e).over(O.STREAM), "after": F.lead(e).over(O.STREAM)}).where("v is null")
+    rows = _gappy(spark, d).withColumns({"before": F.lag(e).over(O.in_stream()), "after": F.lead(e).over(O.in_stream())}).where("v is null")
     return rows.select("stream", "t", F.round(F.sqrt(F.coalesce("before", F.lit(0.0)) * F.coalesce("after", F.lit(0.0))), 4).alias("energy"))
 
 
