@@ -137,7 +137,8 @@ def links(nodes: DataFrame, plan: tuple[int, int] | None = None) -> DataFrame:
     keyed = nodes.select("rep", "fp", F.explode(F.array(*_chain_keys(F.col("fp"), *plan))).alias("k")).select("rep", "fp", "k.start", "k.key")
     buckets = keyed.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("least"), F.count("*").alias("n")).where("n > 1")
     members = keyed.join(buckets, "key").select("key", "start", "rep", "fp", F.col("least.rep").alias("least"), F.col("least.fp").alias("least_fp"))
-    members = members.where("rep <> least").withColumn("near", _linked(F.col("fp").bitwiseXOR(F.col("least_fp")), F.col("start")))
+    # Any distance within the limit is a link here, chain or not: the more links with the first, the fewer pairs remain.
+    members = members.where("rep <> least").withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("least_fp"))) <= DISTANCE)
     members = written(members, "simhash-members")
     star = members.where("near").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     one = members.where("not near").select("key", "start", F.col("rep").alias("a"), F.col("fp").alias("x"))
