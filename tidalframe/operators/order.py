@@ -183,3 +183,24 @@ def overlap_added(frames: DataFrame) -> DataFrame:
     second = F.lag(F.slice("x", half + 1, half)).over(order)
     rows = rows.withColumns({"first": F.slice("x", F.lit(1), half), "held": second})
     return rows.select("ch", "frame", F.posexplode(F.zip_with(F.coalesce("first", F.transform("held", lambda _: F.lit(0.0))), F.coalesce("held", F.transform("first", lambda _: F.lit(0.0))), lambda a, b: a + b)).alias("line", "v"))
+
+
+def carried_losses(rows: DataFrame, rate: int, bitrate: int, samples: int) -> DataFrame:
+    """``rows`` (unit, sub, distance) with lost: whole units in the distance, the rest carried to the next row.
+
+    With a remainder that is carried, the units found so far are the floor of the running sum.
+    """
+    d = bitrate * samples
+    order = Window.partitionBy("unit").orderBy("sub")
+    total = rows.withColumn("__s", F.sum(F.col("distance") * rate).over(order))
+    so_far = F.expr(f"__s div {d}L")
+    return total.withColumn("__u", so_far).withColumn("lost", (F.col("__u") - F.lag("__u", 1, 0).over(order)).cast("long")).drop("__s", "__u")
+
+
+def pulsed(levels: DataFrame, offsets: list[int], amplitudes: list[int]) -> DataFrame:
+    """``levels`` (frame, ch, line, first, q) with pulses at running offsets from ``first``: added where q > 0, else subtracted."""
+    at, out = 0, F.col("q")
+    for offset, amplitude in zip(offsets, amplitudes, strict=True):
+        at += offset
+        out = F.when(F.col("line") == F.col("first") + at, out + F.when(out > 0, amplitude).otherwise(-amplitude)).otherwise(out)
+    return levels.withColumn("q", out)

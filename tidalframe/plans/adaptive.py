@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import adaptive as A
+from ..operators import order as O
 from ..operators import transform as X
 from .spectral import LINES, MEASURES, _measures
-from .views import duck, signal, spectra, table, vectors
+from .views import duck, packets, signal, spectra, table, vectors
 
 PATCHES = ((0, 32, 12), (4, 44, 8), (8, 52, 12))
 #: Weights of the parts of a layout that share a budget.
@@ -89,6 +90,21 @@ def delay_parts(spark, d):
     return table(spark, d, "part").select("p_partkey", total.cast("long").alias("total")).select("p_partkey", F.expr("total div 1024").alias("frames"), (F.col("total") % 1024).alias("samples"))
 
 
+def loss_carry(spark, d):
+    rows = packets(spark, d).select("unit", "sub", (F.col("bits") * 1000).alias("distance"))
+    return O.carried_losses(rows, 44100, 64000, 1024).select("unit", "sub", "lost")
+
+
+def pulse_apply(spark, d):
+    q = spectra(spark, d).select("frame", "ch", "line", (F.col("frame") % 8).cast("int").alias("first"), F.round(F.col("v") * 20).cast("int").alias("q"))
+    return O.pulsed(q, [3, 5, 2, 7], [1, 2, 3, 4]).select("frame", "ch", "line", "q")
+
+
+def step_energy(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("v"))
+    return p.select("p_partkey", F.round(64.0 * F.pow(F.lit(2.0), F.col("v") / 2.0), 4).alias("energy"), F.round(F.pow(F.lit(2.0), 6.0 - F.col("v") % 31), 9).alias("noise"))
+
+
 _SIGNAL = duck("signal").replace("WITH ", "WITH RECURSIVE ")
 
 QUERIES = {
@@ -169,6 +185,19 @@ SELECT o_orderkey, part, CAST(greatest(0, floor(CAST(floor(o_totalprice) AS BIGI
         level_steps,
         "SELECT p_partkey, CAST(CASE WHEN r < 64 THEN -40 + r * 0.25 WHEN r < 128 THEN -24 + (r - 64) * 0.5 ELSE 8.0 + (r - 128) END AS DOUBLE) AS level FROM (SELECT p_partkey, p_partkey % 256 AS r FROM part)",
     ),
+    "loss_carry": (
+        loss_carry,
+        duck("packets")
+        + """, s AS (SELECT unit, sub, CAST(sum(bits * 1000 * 44100) OVER (PARTITION BY unit ORDER BY sub) AS BIGINT) // (64000 * 1024) AS u FROM packets)
+SELECT unit, sub, CAST(u - lag(u, 1, 0) OVER (PARTITION BY unit ORDER BY sub) AS BIGINT) AS lost FROM s""",
+    ),
+    "pulse_apply": (
+        pulse_apply,
+        duck("spectra")
+        + """, q AS (SELECT frame, ch, line, CAST(round(v * 20) AS INTEGER) AS q, line - CAST(frame % 8 AS INTEGER) AS k FROM spectra),
+p(k, a) AS (VALUES (3, 1), (8, 2), (10, 3), (17, 4)) SELECT frame, ch, line, CAST(CASE WHEN p.a IS NULL THEN q WHEN q > 0 THEN q + p.a ELSE q - p.a END AS INTEGER) AS q FROM q LEFT JOIN p USING (k)""",
+    ),
+    "step_energy": (step_energy, "SELECT p_partkey, round(64.0 * pow(2.0, (p_partkey % 40) / 2.0), 4) AS energy, round(pow(2.0, 6.0 - (p_partkey % 40) % 31), 9) AS noise FROM part"),
     "delay_parts": (
         delay_parts,
         """SELECT p_partkey, CAST(d // 1024 AS BIGINT) AS frames, CAST(d % 1024 AS BIGINT) AS samples FROM (SELECT p_partkey,
