@@ -19,7 +19,7 @@ from .training import fit_cnn, sampled, training_windows
 PER_LANGUAGE, WINDOWS = 600, 3
 EPOCHS = 6
 #: The pipeline lets texts go whose prediction is less sure, or that have no letter.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = True
