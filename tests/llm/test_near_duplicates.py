@@ -157,6 +157,17 @@ def test_lines_equal_brute_force(spark):
         assert clean[d] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d][1]))
 
 
+def test_long_lines_are_compared_as_whole_ones(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choices("abcde ", k=700))
+    pairs = [(base, base[1:]), (base, "zz" + base), (base, base[350:] + base[:350]), (base, "".join(rng.choices("abcde ", k=700))), (base, base[:500]), (base, base[150:])]
+    for keep in (0.9, 0.82, 0.79):
+        pairs.append((base, "".join(c if rng.random() < keep else "z" for c in base)))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    for r in df.select("x", "y", lines._similar(F.col("x"), F.col("y")).alias("s")).collect():
+        assert r.s == (distance(r.x, r.y) <= 0.2 * max(len(r.x), len(r.y)) + 1e-9)
+
+
 def test_no_lines(spark):
     assert lines.duplicate_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -214,7 +214,8 @@ def test_word_hashes_do_not_depend_on_place():
 
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as pipeline
+
     rng = random.Random(1)
     vocabulary = [f"word{i}" for i in range(500)]
     rows = [(i, " ".join(rng.choices(vocabulary, k=40)), "en", f"s{i % 3}") for i in range(90)]
