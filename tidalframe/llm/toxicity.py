@@ -168,10 +168,10 @@ class Ratios:
 def _table(found: DataFrame) -> Ratios:
     """The ratios that get a slot: of several n-grams in one, the one whose ratio matters most overall.
 
-    At most 2**(SLOT_BITS + 1) rows reach the driver, whatever the corpus.
+    At most 2**SLOT_BITS rows reach the driver, whatever the corpus.
     """
-    slot = F.pmod(F.xxhash64("key"), F.lit(1 << (SLOT_BITS + 1)))
-    best = found.groupBy(slot.alias("slot")).agg(F.max(F.struct((F.abs("ratio") * F.sqrt("n")).alias("w"), "key", "ratio")).alias("b"))
+    slot = F.pmod(F.xxhash64("key"), F.lit(1 << SLOT_BITS))
+    best = found.groupBy(slot.alias("slot")).agg(F.max(F.struct((F.abs("ratio") * F.sqrt("n")).cast("float").alias("w"), "key", F.col("ratio").cast("float").alias("ratio"))).alias("b"))
     got = best.select("b.key", "b.ratio", "b.w").toArrow()
     order = np.argsort(np.asarray(got["w"]), kind="stable")
     return Ratios(iter([(np.asarray(got["key"])[order], np.asarray(got["ratio"])[order].astype(np.float32))]))
