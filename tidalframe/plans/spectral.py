@@ -177,7 +177,7 @@ def headroom(spark, d):
 def loudness_gain(spark, d):
     p = table(spark, d, "part")
     db = -24.0 - F.col("p_size") * -0.5
-    return p.select("p_partkey", F.round(db, 4).alias("gain_db"), F.round(F.col("p_retailprice") * N.gain(db), 4).alias("scaled"), F.round(F.pow(F.lit(2.0), F.col("p_size") / 4.0), 4).alias("noise_gain"))
+    return p.select("p_partkey", F.round(db, 4).alias("gain_db"), F.round(F.col("p_retailprice") * N.gain(db) + 1e-9, 4).alias("scaled"), F.round(F.pow(F.lit(2.0), F.col("p_size") / 4.0), 4).alias("noise_gain"))
 
 
 def mixed_radix(spark, d):
@@ -305,7 +305,7 @@ SELECT frame, ch, line, q31, pcm, CAST(greatest(-2147483648, least(2147483647, f
 m AS (SELECT frame, ch, bit_or(CASE WHEN q < 0 THEN -q - 1 ELSE q END) AS m FROM q GROUP BY frame, ch)
 SELECT frame, ch, CAST(greatest(0, CASE WHEN m = 0 THEN 31 ELSE 31 - length(bin(m)) END) AS INTEGER) AS headroom FROM m""",
     ),
-    "loudness_gain": (loudness_gain, "SELECT p_partkey, round(-24.0 + p_size * 0.5, 4) AS gain_db, round(p_retailprice * pow(10.0, (-24.0 + p_size * 0.5) / 20.0), 4) AS scaled, round(pow(2.0, p_size / 4.0), 4) AS noise_gain FROM part"),
+    "loudness_gain": (loudness_gain, "SELECT p_partkey, CAST(round(-24.0 + p_size * 0.5, 4) AS DOUBLE) AS gain_db, round(p_retailprice * pow(10.0, (-24.0 + p_size * 0.5) / 20.0) + 1e-9, 4) AS scaled, round(pow(2.0, p_size / 4.0), 4) AS noise_gain FROM part"),
     "mixed_radix": (mixed_radix, "SELECT p_partkey, " + ", ".join(f"CAST(((p_partkey % 81) // {3**k}) % 3 - 1 AS INTEGER) AS d{k}" for k in range(4)) + " FROM part"),
     "rate_index": (
         rate_index,
