@@ -210,3 +210,42 @@ def test_embeddings_over_many_cells_and_blocks(spark, monkeypatch):
 
 def test_no_embeddings(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# ------------------------------------------------------------------ lines by edit similarity alone
+def edited(rng, line, share):
+    """``line`` with up to ``share`` of its characters replaced, taken out or doubled at random places."""
+    out = list(line)
+    for i in rng.sample(range(len(out)), int(share * len(out))):
+        out[i] = rng.choice([rng.choice("aeinrst"), "", out[i] * 2])
+    return " ".join("".join(out).split())
+
+
+def line_pairs(keys):
+    near = lambda a, b: abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+    return [(a, b) for a in range(len(keys)) for b in range(a) if near(keys[a], keys[b])]
+
+
+def test_op8_links_lines_by_edit_similarity_alone(spark, tmp_path):
+    rng = random.Random(21)
+    letters = "etaoinshrdlucmfwypvbgk"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(2, 8)))
+    keys = [" ".join(word() for _ in range(n)) for n in (1, 1, 1, 2, 2, 2, 3, 3, 4, 5, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32) * 2]
+    keys += [edited(rng, k, share) for k in list(keys) for share in (0.03, 0.08, 0.12)]
+    keys = sorted({k for k in keys if k})
+    pairs = line_pairs(keys)
+    spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    dropped = {r.doc_id for r in lines.op8_lines(spark, str(tmp_path)).collect() if r.n_dropped}
+    roots = united(len(keys), pairs)
+    # Nothing goes that no pair connects; of what should go, nearly all does.
+    want = {i for i, r in enumerate(roots) if i != r}
+    assert dropped <= want and len(dropped) >= 0.97 * len(want) and len(want) > 60
+
+
+def test_letter_keys_miss_no_short_line(spark):
+    rng = random.Random(22)
+    keys = sorted({"".join(rng.choices("ab c", k=rng.randint(1, 14))).strip() or "a" for _ in range(250)})
+    df = spark.createDataFrame(list(enumerate(keys)), "i long, line string")
+    held = {r.i: set(r.k) for r in df.select("i", lines.letter_keys(F.col("line")).alias("k")).collect()}
+    pairs = line_pairs(keys)
+    assert pairs and all(held[a] & held[b] for a, b in pairs)
