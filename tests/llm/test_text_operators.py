@@ -205,6 +205,25 @@ def test_shared_model_sums_to_one(spark):
     assert all(0 < r.p <= 1 + 1e-9 for r in sums)
 
 
+def test_no_ratio_is_lost():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 40, 900_000))
+    held, other = keys[::2], keys[1::2]
+    value = rng.standard_normal(len(held)).astype(np.float32)
+    table = toxicity.Ratios(iter([(held, value)]))
+    assert np.array_equal(table.of(held), value) and not table.of(other).any()
+    assert not toxicity.Ratios(iter([])).of(other).any()
+
+
+def test_all_counted_ngrams_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 1000)
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    found = spark.createDataFrame([(int(k), float(i + 1), 1) for i, k in enumerate(keys)], "key long, ratio double, n long")
+    tables = toxicity._tables(found)
+    assert len(tables) == 5 and np.array_equal(toxicity._ratio(tables, keys), np.arange(1, len(keys) + 1))
+
+
 def test_word_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"foo bar foo", np.uint8)
     starts, ends = bytetext.runs(bytetext.ALNUM[data], np.array([0, 11]))

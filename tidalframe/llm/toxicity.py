@@ -4,8 +4,8 @@ Every labelled text of the training folds is counted: n-grams of bytes inside wo
 up in the tasks and then by a shuffle whose size follows the corpus. Both classes discount their own
 counts and back off to one shared Kneser-Ney model of shorter n-grams, built from the number of
 different n-grams that each one continues, so an expression that is rare in either class leans on what
-all texts show. The log-likelihood ratio of each n-gram follows by joins and goes into a table of a
-fixed number of slots, which is broadcast. A text's ratios are added up by word and divided by the
+all texts show. The log-likelihood ratio of each n-gram follows by joins and goes into exact tables,
+none left out, which are broadcast in blocks. A text's ratios are added up by word and divided by the
 number of words: all ratios, and those parts of them that go beyond some levels, so that a few strong
 words count in a long text. A logistic curve, fitted on training rows that the counts don't hold,
 turns these into a probability.
@@ -13,7 +13,7 @@ turns these into a probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ DISCOUNT = 0.75
 CONCENTRATION = 5.0
 #: Ratios of a word beyond which it counts as evidence.
 EVIDENCE = (1.0, 3.0)
-#: Slots of the broadcast table, as a power of two: 6 bytes each, whatever the corpus.
-SLOT_BITS = 21
+#: N-grams of a broadcast block at most, about; a block takes 24 to 60 bytes an n-gram.
+BLOCK = 1 << 21
 #: Texts of each class that the logistic curve is fitted on.
 PER_CLASS = 3000
 #: Labels up to this number are broadcast to the scan of the texts; more are joined by a shuffle.
@@ -145,46 +145,77 @@ def ratios(counts: DataFrame) -> DataFrame:
     return joined.select(F.col("g").alias("key"), F.log(likelihood("t", "ct", "kt") / likelihood("o", "co", "ko")).alias("ratio"), "n")
 
 
-def _slot(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = bytetext.mixed(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16)
+def _slot(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+    seed = np.uint64((0x9E3779B97F4A7C15 + 2 * level * 0xD1B54A32D192ED03) % (1 << 64))
+    h = bytetext.mixed(keys.astype(np.uint64) * seed)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Ratios:
-    """Ratios by slot; a mark of 16 bits tells other n-grams from the one that holds the slot."""
+    """Ratios of all given n-grams: levels of slots with whole keys, each for what finds its slot taken in the one before.
 
-    def __init__(self, rows: Iterator[tuple[np.ndarray, np.ndarray]]):
-        self.value = np.zeros(1 << SLOT_BITS, np.float32)
-        self.mark = np.zeros(1 << SLOT_BITS, np.uint16)
-        for keys, value in rows:
-            slot, mark = _slot(keys)
-            self.value[slot], self.mark[slot] = value, mark
+    A level has at least twice as many slots as keys are left, so a few levels hold all.
+    """
+
+    def __init__(self, rows: Iterable[tuple[np.ndarray, np.ndarray]]):
+        parts = list(rows)
+        keys = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in parts]]).astype(np.int64)
+        value = np.concatenate([np.zeros(0, np.float32), *[v for _, v in parts]]).astype(np.float32)
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
+        while len(keys):
+            bits = max(4, int(2 * len(keys) - 1).bit_length())
+            held, own = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+            slot = _slot(keys, len(self.levels), bits)
+            held[slot] = keys
+            placed = held[slot] == keys
+            own[slot[placed]] = value[placed]
+            self.levels.append((bits, held, own))
+            keys, value = keys[~placed], value[~placed]
 
     def of(self, gram: np.ndarray) -> np.ndarray:
-        slot, mark = _slot(gram)
-        return np.where(self.mark[slot] == mark, self.value[slot], np.float32(0))
+        out = np.zeros(len(gram), np.float32)
+        left = None  # places of the n-grams whose slot another one holds; first all
+        for level, (bits, held, own) in enumerate(self.levels):
+            now = gram if left is None else gram[left]
+            slot = _slot(now, level, bits)
+            key = held[slot]
+            same = key == now
+            if left is None:
+                out = np.where(same, own[slot], np.float32(0))
+                left = np.flatnonzero(~same & (key >= 0))
+            else:
+                out[left[same]] = own[slot[same]]
+                left = left[~same & (key >= 0)]
+        return out
 
 
-def _table(found: DataFrame) -> Ratios:
-    """The ratios that get a slot: of several n-grams in one, the one whose ratio matters most overall.
+def _tables(found: DataFrame) -> list:
+    """The ratios of all n-grams in broadcasts of about BLOCK; the driver holds one block at a time."""
+    found = written(found.select("key", F.col("ratio").cast("float").alias("ratio")), "ratios")
+    blocks = max(1, -(-found.count() // BLOCK))
+    out = []
+    for b in range(blocks):
+        got = found.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow()
+        out.append(share(found.sparkSession, Ratios([(np.asarray(got["key"]), np.asarray(got["ratio"]))])))
+    return out
 
-    At most 2**SLOT_BITS rows reach the driver, whatever the corpus.
-    """
-    slot = F.pmod(F.xxhash64("key"), F.lit(1 << SLOT_BITS))
-    best = found.groupBy(slot.alias("slot")).agg(F.max(F.struct((F.abs("ratio") * F.sqrt("n")).cast("float").alias("w"), "key", F.col("ratio").cast("float").alias("ratio"))).alias("b"))
-    got = best.select("b.key", "b.ratio", "b.w").toArrow()
-    order = np.argsort(np.asarray(got["w"]), kind="stable")
-    return Ratios(iter([(np.asarray(got["key"])[order], np.asarray(got["ratio"])[order].astype(np.float32))]))
+
+def _ratio(tables: list, gram: np.ndarray) -> np.ndarray:
+    """The ratio of each n-gram: the one block that holds it gives it, the others 0."""
+    out = np.zeros(len(gram))
+    for table in tables:
+        out += shared_value(table).of(gram)
+    return out
 
 
-def _features(table: Ratios, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _features(tables: list, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text: ratio a word, and the root of what goes beyond each level of EVIDENCE, a word; 0 without words."""
     n = len(offsets) - 1
     out = np.zeros((n, 1 + len(EVIDENCE)))
     gram, word, text = grams(data, offsets)
     if not len(gram):
         return out
-    by_word = np.add.reduceat(table.of(gram).astype(np.float64), np.searchsorted(word, np.arange(len(text))))
+    by_word = np.add.reduceat(_ratio(tables, gram), np.searchsorted(word, np.arange(len(text))))
     sizes = np.maximum(np.bincount(text, minlength=n), 1)
     out[:, 0] = np.bincount(text, weights=by_word, minlength=n) / sizes
     for k, level in enumerate(EVIDENCE):
@@ -192,10 +223,10 @@ def _features(table: Ratios, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return out
 
 
-def _featured(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch], tables: list) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in bytetext.parts(batch, "text"):
-            f = _features(shared_value(shared), *bytetext.buffers(part.column("text")))
+            f = _features(tables, *bytetext.buffers(part.column("text")))
             yield pa.RecordBatch.from_pydict({"label": part.column("label"), "features": pa.array(f.tolist(), pa.list_(pa.float64()))})
 
 
@@ -228,26 +259,25 @@ def fit(texts: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("g", "t", "o")])
     partial = _joined(texts, labels.where(fold != 0)).mapInArrow(_counted, schema)
     counts = written(partial.groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "ngrams")
-    table = _table(ratios(counts))
+    tables = _tables(ratios(counts))
     chosen, sizes = sampled(labels.where(fold == 0), per_class, seed=7)
-    shared = share(texts.sparkSession, table)
     kinds = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(lambda b: _featured(b, shared), kinds).collect()
+    rows = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(lambda b: _featured(b, tables), kinds).collect()
     y = np.array([r.label for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
     x = np.array([r.features for r in rows])
     w = np.where(y > 0, sizes.get(1, 1) / max(1, y.sum()), sizes.get(0, 1) / max(1, (1 - y).sum()))
-    return table, _logistic(x, y, w / w.mean())
+    return tables, _logistic(x, y, w / w.mean())
 
 
-def _scored(batches: Iterator[pa.RecordBatch], text_col: str, shared, threshold: float) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], text_col: str, model, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in bytetext.parts(batch, text_col):
             score = np.zeros(len(part))
-            if shared_value(shared) is not None:
-                table, (mean, spread, b) = shared_value(shared)
-                x = _features(table, *bytetext.buffers(part.column(text_col)))
+            if model is not None:
+                tables, (mean, spread, b) = model
+                x = _features(tables, *bytetext.buffers(part.column(text_col)))
                 score = 1 / (1 + np.exp(-np.clip(b[0] + ((x - mean) / spread) @ b[1:], -30, 30)))
             keep = {c: part.column(c) for c in part.schema.names}
             yield pa.RecordBatch.from_pydict(keep | {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= threshold).astype(np.int32), pa.int32())})
@@ -261,8 +291,7 @@ def score_toxicity(df: DataFrame, model, text_col: str = "text", threshold: floa
     """
     own = dropped(df, ["score", "predicted"])
     schema = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = share(df.sparkSession, model)
-    return own.mapInArrow(lambda batches: _scored(batches, text_col, shared, threshold), schema)
+    return own.mapInArrow(lambda batches: _scored(batches, text_col, model, threshold), schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
