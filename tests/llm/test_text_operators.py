@@ -224,6 +224,23 @@ def test_all_counted_ngrams_are_broadcast(spark, monkeypatch):
     assert len(tables) == 5 and np.array_equal(toxicity._ratio(tables, keys), np.arange(1, len(keys) + 1))
 
 
+def test_uncounted_ngrams_back_off_to_their_context(spark):
+    texts = {1: b"abcde abcdf abcde", 0: b"abcdg xyxy xyz"}
+    seen = {}
+    for label, text in texts.items():
+        for g in toxicity.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]:
+            seen.setdefault(int(g), [0, 0])[1 - label] += 1
+    counts = spark.createDataFrame([(g, t, o) for g, (t, o) in seen.items()], "g long, t long, o long")
+    tables = toxicity._tables(toxicity.ratios(counts).select("key", "ratio").union(toxicity.backed_off(counts)))
+    new = int.from_bytes(b"abcdz", "big"), int.from_bytes(b"qrstu", "big")
+    # Toxic: 3 of abcd, 2 kinds; ordinary: 1, 1 kind. The shared probability falls out.
+    want = np.log(((0.75 * 2 + 5) / (3 + 5)) / ((0.75 * 1 + 5) / (1 + 5)))
+    got = toxicity._ratio(tables, np.array([*new, *seen], np.int64))
+    assert np.allclose(got[:2], [want, 0]) and want < -0.1
+    own = {r.key: r.ratio for r in toxicity.ratios(counts).collect()}
+    assert np.allclose(got[2:], [own[g] for g in seen], atol=1e-6)
+
+
 def test_word_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"foo bar foo", np.uint8)
     starts, ends = bytetext.runs(bytetext.ALNUM[data], np.array([0, 11]))

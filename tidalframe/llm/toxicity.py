@@ -31,7 +31,9 @@ DISCOUNT = 0.75
 CONCENTRATION = 5.0
 #: Ratios of a word beyond which it counts as evidence.
 EVIDENCE = (1.0, 3.0)
-#: N-grams of a broadcast block at most, about; a block takes 24 to 60 bytes an n-gram.
+#: Marks the key of a context; n-grams lie below.
+CONTEXT = 1 << 8 * ORDER
+#: N-grams and contexts of a broadcast block at most, about; a block takes 24 to 60 bytes an n-gram.
 BLOCK = 1 << 21
 #: Texts of each class that the logistic curve is fitted on.
 PER_CLASS = 3000
@@ -130,12 +132,9 @@ def ratios(counts: DataFrame) -> DataFrame:
     """(key, ratio, n): log-likelihood ratio, toxic over ordinary, of each counted n-gram.
 
     Both classes discount their own counts and give the rest, and as much again as CONCENTRATION
-    observations, to the shared model: Kneser-Ney smoothing in its Pitman-Yor form. An n-gram that no
-    one counted is no evidence: its ratio is 0.
+    observations, to the shared model: Kneser-Ney smoothing in its Pitman-Yor form.
     """
-    own = counts.groupBy(F.shiftright("g", 8).alias("c")).agg(
-        F.sum("t").alias("ct"), F.sum("o").alias("co"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko")
-    )
+    own = _contexts(counts)
     joined = shared_model(counts).withColumn("c", F.shiftright("g", 8)).join(own, "c")
 
     def likelihood(n: str, total: str, kinds: str) -> Column:
@@ -145,6 +144,26 @@ def ratios(counts: DataFrame) -> DataFrame:
     return joined.select(F.col("g").alias("key"), F.log(likelihood("t", "ct", "kt") / likelihood("o", "co", "ko")).alias("ratio"), "n")
 
 
+def _contexts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(F.shiftright("g", 8).alias("c")).agg(
+        F.sum("t").alias("ct"), F.sum("o").alias("co"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko")
+    )
+
+
+def backed_off(counts: DataFrame) -> DataFrame:
+    """(key, ratio): for each counted context the ratio of all n-grams that continue it and that no one counted.
+
+    Both classes back off to the same shared probability of the last byte, which their ratio doesn't
+    keep: what is left are the shares that the classes give away. After a context that no one counted
+    both give all, and the ratio is 0.
+    """
+
+    def rest(total: str, kinds: str) -> Column:
+        return (DISCOUNT * F.col(kinds) + CONCENTRATION) / (F.col(total) + CONCENTRATION)
+
+    return _contexts(counts).select(F.col("c").bitwiseOR(F.lit(CONTEXT)).alias("key"), F.log(rest("ct", "kt") / rest("co", "ko")).alias("ratio"))
+
+
 def _slot(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
     seed = np.uint64((0x9E3779B97F4A7C15 + 2 * level * 0xD1B54A32D192ED03) % (1 << 64))
     h = bytetext.mixed(keys.astype(np.uint64) * seed)
@@ -173,7 +192,12 @@ class Ratios:
             keys, value = keys[~placed], value[~placed]
 
     def of(self, gram: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(gram), np.float32)
+        """The ratio of each n-gram; 0 where there is none."""
+        return self.found(gram)[0]
+
+    def found(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio of each n-gram, and whether there is one."""
+        out, known = np.zeros(len(gram), np.float32), np.zeros(len(gram), bool)
         left = None  # places of the n-grams whose slot another one holds; first all
         for level, (bits, held, own) in enumerate(self.levels):
             now = gram if left is None else gram[left]
@@ -181,16 +205,17 @@ class Ratios:
             key = held[slot]
             same = key == now
             if left is None:
-                out = np.where(same, own[slot], np.float32(0))
+                out, known = np.where(same, own[slot], np.float32(0)), same
                 left = np.flatnonzero(~same & (key >= 0))
             else:
                 out[left[same]] = own[slot[same]]
+                known[left[same]] = True
                 left = left[~same & (key >= 0)]
-        return out
+        return out, known
 
 
 def _tables(found: DataFrame) -> list:
-    """The ratios of all n-grams in broadcasts of about BLOCK; the driver holds one block at a time."""
+    """The ratios of all n-grams and contexts in broadcasts of about BLOCK; the driver holds one block at a time."""
     found = written(found.select("key", F.col("ratio").cast("float").alias("ratio")), "ratios")
     blocks = max(1, -(-found.count() // BLOCK))
     out = []
@@ -200,11 +225,22 @@ def _tables(found: DataFrame) -> list:
     return out
 
 
-def _ratio(tables: list, gram: np.ndarray) -> np.ndarray:
-    """The ratio of each n-gram: the one block that holds it gives it, the others 0."""
-    out = np.zeros(len(gram))
+def _looked_up(tables: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ratio of each key, and whether one block holds it."""
+    out, known = np.zeros(len(keys)), np.zeros(len(keys), bool)
     for table in tables:
-        out += shared_value(table).of(gram)
+        value, here = shared_value(table).found(keys)
+        out += value
+        known = known | here
+    return out, known
+
+
+def _ratio(tables: list, gram: np.ndarray) -> np.ndarray:
+    """The ratio of each n-gram: its own if it was counted, else that of its context, else 0."""
+    out, known = _looked_up(tables, gram)
+    new = np.flatnonzero(~known)
+    if len(new):
+        out[new] = _looked_up(tables, gram[new] >> 8 | CONTEXT)[0]
     return out
 
 
@@ -259,7 +295,7 @@ def fit(texts: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("g", "t", "o")])
     partial = _joined(texts, labels.where(fold != 0)).mapInArrow(_counted, schema)
     counts = written(partial.groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "ngrams")
-    tables = _tables(ratios(counts))
+    tables = _tables(ratios(counts).select("key", "ratio").union(backed_off(counts)))
     chosen, sizes = sampled(labels.where(fold == 0), per_class, seed=7)
     kinds = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
     rows = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(lambda b: _featured(b, tables), kinds).collect()
