@@ -249,3 +249,15 @@ def test_letter_keys_miss_no_short_line(spark):
     held = {r.i: set(r.k) for r in df.select("i", lines.letter_keys(F.col("line")).alias("k")).collect()}
     pairs = line_pairs(keys)
     assert pairs and all(held[a] & held[b] for a, b in pairs)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_lines_of_null_ids_go_too(spark, whole):
+    df = spark.createDataFrame([(None, "some words here\nother things there"), (7, "other things there\nsome words here\nits own line")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in lines.duplicate_lines(df, whole=whole).collect()}
+    assert got == {None: (2, 0, []), 7: (3, 2, [0, 1])}
+    df = df.union(spark.createDataFrame([(None, "a third line\n\na third line")], df.schema))
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in lines.duplicate_lines(df, whole=whole).collect()}
+    assert got[None] == (5, 1, [2])
+    clean = sorted(r.text for r in lines.without_duplicate_lines(df.where("doc_id is null and text like 'a%'"), whole=whole).collect())
+    assert clean == ["a third line\n"]
