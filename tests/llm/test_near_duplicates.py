@@ -261,3 +261,11 @@ def test_lines_of_null_ids_go_too(spark, whole):
     assert got[None] == (5, 1, [2])
     clean = sorted(r.text for r in lines.without_duplicate_lines(df.where("doc_id is null and text like 'a%'"), whole=whole).collect())
     assert clean == ["a third line\n"]
+
+
+def test_lines_that_collide_in_one_hash_stay_apart(spark):
+    one = r"[]n{#*r{zk1[`:?s%rh@4\_e`(.!-5}g16v=3s2<w6.`?9815%_&1[2$l[g4ei`;"
+    two = r"2:=>.pc-zk1[`:?s%rh@4\_e`(.!-5}g71ydds5pw6.`?9815%_&1[2$l[g4ei`;"
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert df.select(F.xxhash64("text")).distinct().count() == 1 and distance(one, two) > 0.2 * len(one)
+    assert [r.n_dropped for r in lines.duplicate_lines(df).collect()] == [0, 0]
