@@ -269,3 +269,12 @@ def test_lines_that_collide_in_one_hash_stay_apart(spark):
     df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
     assert df.select(F.xxhash64("text")).distinct().count() == 1 and distance(one, two) > 0.2 * len(one)
     assert [r.n_dropped for r in lines.duplicate_lines(df).collect()] == [0, 0]
+
+
+def test_one_of_each_goes_by_text_not_by_id(spark):
+    words = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"}
+    rows = [(None, words["a"]), (None, words["b"]), (1, words["c"]), (1, words["d"]), (2, words["d"]), (3, words["e"]), (None, words["e"]), (3, words["f"]), (3, words["f"]), (4, None), (5, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    want = [(None, "a"), (None, "b"), (1, "c"), (1, "d"), (3, "e"), (3, "f")]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(i, words[c]) for i, c in want] + [(4, None)], kept.schema).collect()))

@@ -167,10 +167,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component: the one with the least id (of rows equal in id, any)."""
-    kept = near_duplicates(df, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    own = dropped(df, ["__kept"])
-    return own.join(kept, own[f"`{id_col}`"] == kept["__kept"], "left_semi").dropDuplicates([id_col])
+    """``df`` with one row of each component: the one with the least id, null ids last (of rows equal in id and text, any).
+
+    Components are those of the fingerprints, whatever the ids: a text under a null or repeated id goes
+    only if another one of its component stays.
+    """
+    own = dropped(df, ["__key"])
+    text = F.col(f"`{text_col}`")
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    own = own.withColumn("__key", key)
+    prints = written(fingerprints(own, "__key", text_col), "fingerprints")
+    nodes = written(prints.select(F.col("__fp").alias("rep"), F.col("__fp").alias("fp")).distinct(), "classes")
+    found = components(links(nodes))
+    groups = prints.join(found, F.col("__fp") == F.col("node"), "left").withColumn("c", F.coalesce("component", "__fp"))
+    kept = groups.groupBy("c").agg(F.min("__id").alias("__key")).select("__key")
+    return own.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in own.columns if c != "__key"])
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
