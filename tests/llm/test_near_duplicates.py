@@ -196,6 +196,28 @@ def test_embeddings_over_many_cells_and_blocks(spark, monkeypatch):
     check_vectors(spark, vectors())
 
 
+def test_pivots_follow_the_structure(spark):
+    rng = np.random.default_rng(9)
+    spread = rng.standard_normal((600, 64))
+    close = np.repeat(rng.standard_normal((60, 64)), 10, axis=0) + 0.02 * spread
+    counts = []
+    for x in (spread, close):
+        rows = [(bytes(rng.bytes(16)), v.tobytes()) for v in x]
+        points, apart = embeddings._pivots(spark.createDataFrame(rows, "key binary, raw binary"), 6_000_000, float(np.sqrt(0.2)))[64 * 8]
+        assert apart.shape == (len(points), len(points))
+        counts.append(len(points))
+    small = embeddings._pivots(spark.createDataFrame(rows, "key binary, raw binary"), 600, float(np.sqrt(0.2)))[64 * 8]
+    assert len(small[0]) >= embeddings.MIN_PIVOTS > 1 and counts[1] >= counts[0] > 1
+
+
+def test_embeddings_of_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (5, [0.0, 0.01, 1.0]), (None, None), (7, [0.0, 0.0, -1.0]), (None, [-1.0, -1.0, -1.0])]
+    df = spark.createDataFrame([(i, v, "clash", 9) for i, v in rows], "vec_id long, embedding array<double>, kept string, node int")
+    got = sorted(map(str, [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect()]))
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (None, 1, 5, None), (5, 1, 5, True), (None, 0, None, None), (7, 0, 7, True), (None, 0, None, None)]
+    assert got == sorted(map(str, want))
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -24,14 +24,16 @@ from .common import share, shared_value, written
 from .components import components
 
 COSINE = 0.9
-#: Vectors that a cell should be home to, and most pivots.
-CELL, MAX_PIVOTS = 8192, 1024
+#: Vectors that a cell should be home to at most, and least and most pivots.
+CELL, MIN_PIVOTS, MAX_PIVOTS = 8192, 4, 2048
+#: Vectors that pivots are tried on, and the work of sending a vector to a cell in comparisons of two vectors.
+TRIED, SENDING = 2000, 250
 #: Most vectors on one side of a block.
 SIDE = 8192
 #: Rows of a block that are compared at once.
 STEP = 512
 
-_ROWS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("label", T.LongType())])
+_ROWS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("label", T.LongType())])
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -62,6 +64,15 @@ def _matrix(raws) -> np.ndarray:
     return np.frombuffer(b"".join(raws), np.float64).reshape(len(raws), -1)
 
 
+def _cells(unit: np.ndarray, points: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest pivot, and whether a vector within ``radius`` may be at home with each pivot."""
+    square = np.maximum(0, 2 - 2 * unit @ points.T)
+    nearest = square.argmin(axis=1)
+    # Distance to the plane half-way between the home pivot and another one.
+    plane = (square - square[np.arange(len(unit)), nearest][:, None]) / np.maximum(2 * apart[nearest], 1e-12)
+    return nearest, plane <= radius + 1e-9
+
+
 def _dealt(batches: Iterator[pa.RecordBatch], pivots, radius: float) -> Iterator[pa.RecordBatch]:
     """Each class to its home cell and to all cells that may hold a linked vector at home."""
     for batch in batches:
@@ -77,30 +88,27 @@ def _dealt(batches: Iterator[pa.RecordBatch], pivots, radius: float) -> Iterator
                 rows.append(at), cells.append(np.full(len(at), size * 10_000)), home.append(np.ones(len(at), bool))
                 continue
             points, apart = own
-            square = np.maximum(0, 2 - 2 * _unit(_matrix([raws[i] for i in members])) @ points.T)
-            nearest = square.argmin(axis=1)
-            # Distance to the plane half-way between the home pivot and another one.
-            plane = (square - square[np.arange(len(at)), nearest][:, None]) / np.maximum(2 * apart[nearest], 1e-12)
-            r, c = np.nonzero(plane <= radius + 1e-9)
+            nearest, reached = _cells(_unit(_matrix([raws[i] for i in members])), points, apart, radius)
+            r, c = np.nonzero(reached)
             rows.append(at[r]), cells.append(size * 10_000 + c), home.append(nearest[r] == c)
         if rows:
             take = np.concatenate(rows)
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.concatenate(cells), pa.int64()), "home": pa.array(np.concatenate(home)), **{c: batch.column(c).take(pa.array(take)) for c in ("rep", "n", "raw")}})
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.concatenate(cells), pa.int64()), "home": pa.array(np.concatenate(home)), **{c: batch.column(c).take(pa.array(take)) for c in ("node", "n", "raw")}})
 
 
 def _block(left: pd.DataFrame, right: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of the home vectors ``left`` among ``right``, and labels that connect what is linked."""
     a, b = _unit(_matrix(left["raw"].tolist())), _unit(_matrix(right["raw"].tolist()))
     a32, b32 = a.astype(np.float32), b.astype(np.float32)
-    rep_a, rep_b, n_b = left["rep"].to_numpy(), right["rep"].to_numpy(), right["n"].to_numpy()
-    nodes, place = np.unique(np.concatenate([rep_a, rep_b]), return_inverse=True)
+    node_a, node_b, n_b = left["node"].to_numpy(), right["node"].to_numpy(), right["n"].to_numpy()
+    nodes, place = np.unique(np.concatenate([node_a, node_b]), return_inverse=True)
     label = np.arange(len(nodes))
-    in_a, in_b = place[: len(rep_a)], place[len(rep_a) :]
-    links = np.zeros(len(rep_a), np.int64)
+    in_a, in_b = place[: len(node_a)], place[len(node_a) :]
+    links = np.zeros(len(node_a), np.int64)
     for at in range(0, len(a), STEP):
         i, j = np.nonzero(a32[at : at + STEP] @ b32.T > cosine - 1e-4)
         i += at
-        near = rep_a[i] != rep_b[j]
+        near = node_a[i] != node_b[j]
         i, j = i[near], j[near]
         exact = np.empty(len(i), bool)
         for k in range(0, len(i), 65_536):
@@ -126,24 +134,36 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, cosine: float) -> pd.DataFra
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return pd.DataFrame(
         {
-            "rep": np.concatenate([rep_a, nodes[moved]]),
+            "node": np.concatenate([node_a, nodes[moved]]),
             "n_links": np.concatenate([links, np.zeros(len(moved), np.int64)]),
-            "label": np.concatenate([rep_a, nodes[label[moved]]]),
+            "label": np.concatenate([node_a, nodes[label[moved]]]),
         }
     )
 
 
-def _pivots(classes: DataFrame, count: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Up to MAX_PIVOTS vectors drawn by hash, by length, and the distances between them."""
-    n = max(1, min(MAX_PIVOTS, -(-count // CELL)))
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(n).select("raw").collect()
+def _pivots(classes: DataFrame, count: int, radius: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Pivots by length of vectors, and the distances between them.
+
+    Up to MAX_PIVOTS are drawn by digest. How many of them are used is tried on TRIED vectors: with more
+    pivots, cells are smaller, but a vector goes to more of them; the least work all in all wins.
+    """
+    least = max(MIN_PIVOTS, min(MAX_PIVOTS, -(-count // CELL)))
+    most = max(least, min(MAX_PIVOTS, 4 * int(np.sqrt(count))))
+    rows = classes.select("key", "raw").orderBy("key").limit(most + TRIED).collect()
     by_size: dict[int, list[bytes]] = {}
     for r in rows:
         by_size.setdefault(len(r.raw), []).append(bytes(r.raw))
     out = {}
     for size, raws in by_size.items():
-        points = _unit(_matrix(sorted(raws)))
-        out[size] = points, np.sqrt(np.maximum(0, 2 - 2 * points @ points.T))
+        points, tried = _unit(_matrix(raws[:most])), _unit(_matrix(raws[-TRIED:]))
+        apart = np.sqrt(np.maximum(0, 2 - 2 * points @ points.T))
+        works, n = {}, least
+        while n <= min(most, len(points)):
+            sent = _cells(tried, points[:n], apart[:n, :n], radius)[1].sum(axis=1).mean()
+            works[n] = sent * (SENDING + count / n)
+            n *= 2
+        best = min(works, key=works.get) if works else len(points)
+        out[size] = points[:best], apart[:best, :best]
     return out
 
 
@@ -153,38 +173,42 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     n_links counts the other rows whose vectors have a cosine of at least ``cosine`` (over 0), exact
     copies included. Vectors that are null, empty, zero, or hold a null, NaN or infinity link with
     nothing and are their own component; so do vectors of different length. Rows with equal ids are
-    rows each. A null id is no one's component_id. An empty table gives no rows. Other columns of
+    rows each, whose vectors link or don't like any others. Rows with null ids link, too, but a null id
+    is no one's component_id, and their ``kept`` is null. An empty table gives no rows. Other columns of
     ``df`` play no part.
     """
     radius = float(np.sqrt(2 - 2 * cosine))
     slim = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     keyed_type = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("raw", T.BinaryType())])
     keyed = written(slim.mapInArrow(_keyed, keyed_type), "vectors")
+    # A class is a distinct vector, whatever ids its rows have; its number is fixed once it is written.
     classes = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"))
-    classes = written(classes, "vector-classes").where("rep is not null")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     count = classes.count()
-    shared = share(df.sparkSession, _pivots(classes, count))
-    dealt_type = T.StructType([T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("raw", T.BinaryType())])
-    dealt = written(classes.select("rep", "n", "raw").mapInArrow(lambda b: _dealt(b, shared_value(shared), radius), dealt_type), "vector-cells")
+    shared = share(df.sparkSession, _pivots(classes, count, radius))
+    dealt_type = T.StructType([T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("raw", T.BinaryType())])
+    dealt = written(classes.select("node", "n", "raw").mapInArrow(lambda b: _dealt(b, shared_value(shared), radius), dealt_type), "vector-cells")
     # One row for each pivot at most.
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count_if("home") / SIDE).alias("rows"), F.ceil(F.count("*") / SIDE).alias("columns"))
-    spread = dealt.join(F.broadcast(sizes), "cell").withColumns({"__i": F.pmod(F.xxhash64("rep"), F.col("rows")), "__j": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("columns"))})
+    spread = dealt.join(F.broadcast(sizes), "cell").withColumns({"__i": F.pmod(F.xxhash64("node"), F.col("rows")), "__j": F.pmod(F.xxhash64("node", F.lit(1)), F.col("columns"))})
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = spread.where("home").select("cell", F.col("__i").alias("i"), every(F.col("columns")).alias("j"), "rep", "n", "raw", F.lit(True).alias("mine"))
-    right = spread.where("rows > 0").select("cell", every(F.col("rows")).alias("i"), F.col("__j").alias("j"), "rep", "n", "raw", F.lit(False).alias("mine"))
+    left = spread.where("home").select("cell", F.col("__i").alias("i"), every(F.col("columns")).alias("j"), "node", "n", "raw", F.lit(True).alias("mine"))
+    right = spread.where("rows > 0").select("cell", every(F.col("rows")).alias("i"), F.col("__j").alias("j"), "node", "n", "raw", F.lit(False).alias("mine"))
 
     def joined(block: pd.DataFrame) -> pd.DataFrame:
         mine = block["mine"].to_numpy()
         if mine.all() or not mine.any():
-            return pd.DataFrame({"rep": block["rep"][mine], "n_links": 0, "label": block["rep"][mine]})
+            return pd.DataFrame({"node": block["node"][mine], "n_links": 0, "label": block["node"][mine]})
         return _block(block[mine], block[~mine], cosine)
 
     found = left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(joined, _ROWS)
     found = written(found, "vector-links")
-    groups = components(found.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    sums = found.groupBy("rep").agg(F.sum("n_links").alias("__links"))
-    totals = classes.join(sums, "rep", "left").join(groups, classes.rep == groups.node, "left")
-    totals = totals.select(F.col("key").alias("__key"), (F.coalesce("__links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    groups = components(found.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "__node")
+    placed = classes.select("key", "node", "rep", "n").join(groups, F.col("node") == F.col("__node"), "left").withColumn("c", F.coalesce("component", "node"))
+    least = placed.groupBy("c").agg(F.min("rep").alias("component_id"))
+    sums = found.groupBy("node").agg(F.sum("n_links").alias("__links"))
+    totals = placed.join(sums, "node", "left").join(least, "c")
+    totals = totals.select(F.col("key").alias("__key"), (F.coalesce("__links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = keyed.select("id", "key").join(totals, F.col("key") == F.col("__key"), "left")
     own = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("id") == own).alias("kept"))
