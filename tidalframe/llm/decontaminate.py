@@ -1,6 +1,7 @@
 """Operator 10: benchmark decontamination by a broadcast hash set of word windows.
 
-The benchmark's windows are hashed on the driver and broadcast in blocks of bounded size. Each task
+The benchmark's windows are hashed on the driver and broadcast in blocks of bounded size; items too long
+for a block are cut into pieces that share words. Each task
 scans its documents' words as byte arrays: a rolling hash gives every window's hash at once, a bitmap
 drops nearly all, a search in the sorted hashes finds the candidates, and each candidate is verified
 word by word before it counts. Documents are not shuffled.
@@ -25,6 +26,8 @@ from .common import documents, dropped, share, shared_value, written
 WINDOW = 8
 #: UTF-8 bytes of benchmark text in one broadcast block; a larger benchmark takes several passes.
 BLOCK_BYTES = 32_000_000
+#: Windows found in documents whose items a worker remembers.
+FOUND = 200_000
 #: A document with this many items is contaminated.
 MIN_ITEMS = 2
 
@@ -41,39 +44,71 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some benchmark items: sorted hashes, and texts and items to verify with."""
+    """The windows of some benchmark items: sorted hashes, and the place of each in one buffer of texts to verify with.
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        found: dict[tuple[bytes, ...], set[str]] = {}
+    A window takes about 40 bytes, its words included.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
+        self.ids: list[str | None] = list(dict.fromkeys(i for i, _ in items))
+        place = {i: k for k, i in enumerate(self.ids)}
+        self.found: dict[bytes, tuple[str, ...] | None] = {}
+        texts, starts, ends, hashes, owner, firsts = [], [], [], [], [], [0]
+        at = 0
         for item, text in items:
-            ws = words_of(text)
-            n = min(size, len(ws))
-            for i in range(len(ws) - n + 1 if n else 0):
-                found.setdefault(tuple(ws[i : i + n]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.items: dict[bytes, list[str]] = {b" ".join(w): sorted(v) for w, v in found.items()}
-        lengths: dict[int, list[bytes]] = {}
-        for w in found:
-            lengths.setdefault(len(w), []).append(b" ".join(w))
-        for n, texts in lengths.items():
-            joined = np.frombuffer(b"\n".join(texts), np.uint8)
-            starts, ends = bytetext.runs(bytetext.ALNUM[joined], np.zeros(0, np.int64))
-            hashes = bytetext.window_hashes(bytetext.word_hashes(joined, starts, ends), n)[::n]
-            hashes = np.unique(hashes)
-            bits = max(10, min(24, int(len(hashes) * 64).bit_length()))
+            low = bytetext.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+            own = bytetext.runs(bytetext.ALNUM[low], np.zeros(0, np.int64))
+            if not len(own[0]):
+                continue
+            texts.append(low), starts.append(own[0] + at), ends.append(own[1] + at), hashes.append(bytetext.word_hashes(low, *own))
+            owner.append(place[item]), firsts.append(firsts[-1] + len(own[0]))
+            at += len(low)
+        self.low = np.concatenate([np.zeros(0, np.uint8), *texts])
+        self.starts, self.ends = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (starts, ends))
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        lengths: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for k, h in enumerate(hashes):
+            n = min(size, len(h))
+            keys = bytetext.window_hashes(h, n)
+            lengths.setdefault(n, []).append((keys, firsts[k] + np.arange(len(keys)), np.full(len(keys), owner[k], np.int32)))
+        for n, rows in lengths.items():
+            keys, word, item = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((word, item, keys))
+            keys, word, item = keys[order], word[order], item[order]
+            bits = max(10, min(24, int(len(keys) * 64).bit_length()))
             bitmap = np.zeros(1 << bits, bool)
-            bitmap[hashes >> np.uint64(64 - bits)] = True
-            self.by_length[n] = (hashes, bitmap)
+            bitmap[keys >> np.uint64(64 - bits)] = True
+            self.by_length[n] = (keys, bitmap, word, item)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"found": {}}
+
+    def words(self, first: int, n: int) -> bytes:
+        return b" ".join([self.low[self.starts[w] : self.ends[w]].tobytes() for w in range(first, first + n)])
 
+    def items_of(self, words: bytes, n: int, key: np.uint64) -> tuple[str, ...] | None:
+        """The items that hold the window, those without an id left out; None if none holds it."""
+        if words not in self.found:
+            keys, _, word, item = self.by_length[n]
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            same, seen = set(), set()
+            for k in range(low, high):  # an item's equal windows are neighbours: the first one speaks for them unless hashes collide
+                if int(item[k]) not in same and self.words(int(word[k]), n) == words:
+                    same.add(int(item[k]))
+            seen = {self.ids[i] for i in same}
+            if len(self.found) > FOUND:
+                self.found.clear()
+            self.found[words] = tuple(sorted(seen - {None})) if seen else None
+        return self.found[words]
 
-def _scan(windows: Windows, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(first word, words, window) of every verified occurrence; windows don't cross documents."""
+
+def _scan(windows: Windows, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, tuple[str, ...]]]:
+    """(first word, words, items) of every verified occurrence; windows don't cross documents."""
     out = []
     if not len(starts):
         return out
     hashes = bytetext.word_hashes(low, starts, ends)
-    seen: dict[bytes, bytes] = {}
-    for n, (known, bitmap) in windows.by_length.items():
+    for n, (known, bitmap, _, _) in windows.by_length.items():
         if len(starts) < n:
             continue
         h = bytetext.window_hashes(hashes, n)
@@ -81,12 +116,10 @@ def _scan(windows: Windows, low: np.ndarray, starts: np.ndarray, ends: np.ndarra
         maybe = maybe[doc[maybe] == doc[maybe + n - 1]]
         at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
         for t in maybe[known[at] == h[maybe]].tolist():
-            raw = low[starts[t] : ends[t + n - 1]].tobytes()
-            text = seen.get(raw)
-            if text is None:
-                text = seen[raw] = b" ".join(_WORD_BYTES.findall(raw))
-            if text in windows.items:
-                out.append((t, n, text))
+            words = b" ".join(_WORD_BYTES.findall(low[starts[t] : ends[t + n - 1]].tobytes()))
+            items = windows.items_of(words, n, h[t])
+            if items is not None:
+                out.append((t, n, items))
     return out
 
 
@@ -110,14 +143,14 @@ def _marked(batch: pa.RecordBatch, text_col: str, windows: Windows, first: bool,
         for d, (s, i) in enumerate(zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True)):
             hits[d] = [(s[k], s[k + 1]) for k in range(0, len(s), 2)]
             items[d] = set(i)
-    for t, length, text in _scan(windows, low, starts, ends, doc):
+    for t, length, found in _scan(windows, low, starts, ends, doc):
         d = int(doc[t])
         at = t - int(first_word[d])
         if hits[d] and hits[d][-1][0] <= at <= hits[d][-1][1]:  # neighbours grow into one run
             hits[d][-1] = (hits[d][-1][0], max(hits[d][-1][1], at + length))
         else:
             hits[d].append((at, at + length))
-        items[d].update(windows.items[text])
+        items[d].update(found)
     hits = [_merged(x) if len(x) > 1 else x for x in hits]
     keep = {c: batch.column(c) for c in batch.schema.names if c not in ("__spans", "__items")}
     if not last:
@@ -163,14 +196,33 @@ def _without(data, offsets, starts, ends, first: int, d: int, spans: list[tuple[
     return b"".join(kept).decode()
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark's items in lists of about ``limit`` bytes, each read by its own job."""
-    size = benchmark.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).collect()[0][0] or 0
-    n = max(1, -(-size // limit))
+def _cut(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(i, t) in pieces of about ``most`` bytes; neighbours share words, so every window lies in one piece."""
+    for batch in batches:
+        ids, texts = [], []
+        for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            raw = (t or "").encode()
+            if len(raw) <= most:
+                ids.append(i), texts.append(t)
+                continue
+            starts, ends = bytetext.runs(bytetext.ALNUM[bytetext.LOWER[np.frombuffer(raw, np.uint8)]], np.zeros(0, np.int64))
+            first = 0
+            while first < len(starts):
+                last = max(first + 2 * size, int(np.searchsorted(ends, starts[first] + most, side="right")))
+                last = len(starts) if len(starts) - last < size else last
+                ids.append(i), texts.append(raw[starts[first] : ends[last - 1]].decode())
+                first = last if last == len(starts) else last - size + 1
+        yield pa.RecordBatch.from_pydict({"i": pa.array(ids, pa.string()), "t": pa.array(texts, pa.string())})
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_BYTES, size: int = WINDOW) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark's items in lists of about ``limit`` bytes, each read by its own job; long items go in pieces."""
     rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("t"))).collect()[0][0] or 0) // limit))
+    rows = rows.mapInArrow(lambda batches: _cut(batches, size, max(1, limit // 8)), "i string, t string")
     for b in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.collect() if r.i is not None]
+        yield sorted(((r.i, r.t) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1] or ""))
 
 
 def decontaminate(
@@ -188,14 +240,14 @@ def decontaminate(
     (pairs of word numbers, end exclusive) and clean_text, the text without its hit spans.
 
     A null text has no words and stays null in clean_text; an empty one has none either. Items without
-    words, and null items, match nothing. Repeated items with the same id count once, with different
+    words match nothing; the words of an item with a null id are hit, but it counts for no item. Repeated items with the same id count once, with different
     texts under one id too. Repeated documents are judged alike. An empty benchmark hits nothing.
     Columns of ``df`` with the names of the new ones are replaced. A benchmark over ``block_bytes``
     is applied block after block, the hits so far carried along in a written table.
     """
     out = dropped(df, _OWN + ["__spans", "__items"])
     spark = df.sparkSession
-    todo = blocks(benchmark, item_col, item_text_col, block_bytes)
+    todo = blocks(benchmark, item_col, item_text_col, block_bytes, window)
     block, first = next(todo), True
     while block is not None:
         following = next(todo, None)
