@@ -1,8 +1,8 @@
 """Operator 5: token counts through a cache that is keyed by digests.
 
-The cache is a Parquet table of (content digest, tokenizer digest, bytes, tokens). Contents are
-reduced to their distinct digests before and after one shuffle, so copies move once a task; those
-that the cache lacks are encoded, appended, and all rows get their counts by joining the cache.
+The cache is a Parquet table of (content digest, tokenizer digest, bytes, tokens). Digests are held
+against it first, and only texts that it lacks move, reduced to distinct ones before and after one
+shuffle; they are encoded and appended, and all rows get their counts by joining the cache.
 
 A byte-level BPE in a tokenizers file is encoded by tiktoken with the same vocabulary, which is about
 eight times as fast; a worker first compares both libraries on probes and else uses tokenizers. The
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, dropped, scratch_path, worker_state
+from .common import documents, dropped, scratch_path, worker_state, written
 
 LIMIT = 1024
+#: Digests that a cache lacks are broadcast to the texts up to this number; more are joined by a shuffle.
+BROADCAST_MISSES = 1_000_000
 #: What the cut of a byte-level BPE into words must be for the fast way.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PROBES = ("", "Hello  world's\n\n tab\t12,345 é中😀 <|endoftext|>x", "  　a‍b\r\n", "zzzz" * 50 + " don't WE'LL", "a <|endof text|> <|endoftext|><|endoftext|>")
@@ -103,13 +105,16 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str, text_col: str = "tex
     content = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = dropped(df, ["n_bytes", "n_tokens", "over_limit", "__content"])
     keyed = own.withColumns({"__content": F.unhex(F.sha2(content, 256)), "n_bytes": F.octet_length(content).cast("long")})
-    distinct = keyed.select(F.col("__content").alias("content"), content.alias("text")).groupBy("content").agg(F.first("text").alias("text"))
 
     def cached() -> DataFrame:
         return spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == tok)
 
-    misses = distinct.join(cached().select("content"), "content", "left_anti") if _exists(spark, cache) else distinct
-    misses = misses.select("content", F.lit(tok).alias("tokenizer"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    texts = keyed.select(F.col("__content").alias("content"), content.alias("text"))
+    if _exists(spark, cache):
+        lacked = written(texts.select("content").distinct().join(cached().select("content"), "content", "left_anti"), "token-misses")
+        few = lacked.count() <= BROADCAST_MISSES
+        texts = texts.join(F.broadcast(lacked) if few else lacked, "content", "left_semi")
+    misses = texts.groupBy("content").agg(F.first("text").alias("text")).select("content", F.lit(tok).alias("tokenizer"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     misses.mapInArrow(lambda batches: _encoded(batches, tokenizer), _CACHE).write.mode("append").parquet(cache)
     known = cached().groupBy(F.col("content").alias("__known")).agg(F.max("n_tokens").alias("n_tokens"))
     # A text may be a third of all rows: the planner can split the row side of this join.
