@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -20,11 +21,14 @@ _own_scratch: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a folder of our own is made.
+    Only where the setting is absent and all of Spark runs in one process (tests) a folder of our own is
+    made; on a cluster no one else would see it, so there a missing setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="tidalframe-")
@@ -66,9 +70,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crc_mod(id_col: str | Column, modulus: int) -> Column:
-    """crc32 of the id as text, modulo ``modulus``: the folds of the classifiers."""
+    """crc32 of the id as text, modulo ``modulus``: the folds of the classifiers. A null id counts as an empty text."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.crc32(col.cast("string")) % modulus
+    return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % modulus
 
 
 def worker_state() -> dict:

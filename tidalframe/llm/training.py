@@ -15,12 +15,12 @@ from .bytecnn import ByteCNN, windows_of
 
 
 def sampled(rows: DataFrame, per_class: int, seed: int = 0) -> tuple[DataFrame, dict]:
-    """At most ``per_class`` rows of each label from (id, label), drawn by hash; and all rows' counts.
+    """At most ``per_class`` different ids of each label from (id, label), drawn by hash; and all labels' counts of ids.
 
-    Reruns draw the same rows. First a share that leaves about twice as many as wanted, so what is
-    then ranked is bounded however large a class is.
+    Reruns draw the same ids; an id with several rows of one label counts once. First a share that leaves about
+    twice as many as wanted, so what is then ranked is bounded however large a class is.
     """
-    rows = rows.where("id is not null and label is not null")
+    rows = rows.where("id is not null and label is not null").select("id", "label").distinct()
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(2.0**53)
     share = F.lit(0.0)
@@ -44,14 +44,22 @@ def _windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label"), "windows": pa.array(packed, pa.binary())})
 
 
+def one_of_each_id(found: DataFrame, value: str) -> DataFrame:
+    """One row of each (id, label) of ``found``, that with the least digest of ``value``; copies meet inside the tasks first."""
+    best = F.min_by(value, F.xxhash64(value)).alias(value)
+    return found.groupBy("id", "label").agg(best)
+
+
 def training_windows(texts: DataFrame, chosen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, list]:
     """Windows of the chosen texts, the number of the text of each, and the texts' labels.
 
-    ``texts`` has (id, text), ``chosen`` the bounded (id, label) of ``sampled``, so it may be broadcast.
+    ``texts`` has (id, text), ``chosen`` the bounded (id, label) of ``sampled``, so it may be broadcast. Of
+    several texts with one id the one with the least digest is taken, so no more rows than chosen ones come back.
     """
     label = chosen.schema["label"].dataType
     schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("label", label), T.StructField("windows", T.BinaryType())])
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(lambda b: _windows(b, most), schema).collect()
+    found = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(lambda b: _windows(b, most), schema)
+    rows = one_of_each_id(found, "windows").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.windows)))
     if not rows:
         return np.zeros((0, 1), np.uint8), np.zeros(0, int), []
@@ -60,7 +68,7 @@ def training_windows(texts: DataFrame, chosen: DataFrame, most: int) -> tuple[np
     return np.concatenate(windows), np.repeat(np.arange(len(rows)), [len(w) for w in windows]), [r.label for r in rows]
 
 
-def fit_cnn(windows: np.ndarray, doc: np.ndarray, labels: list, classes: list, counts: dict, epochs: int, rate: float = 0.01) -> ByteCNN | None:
+def fit_cnn(windows: np.ndarray, doc: np.ndarray, labels: list, classes: list, counts: dict, epochs: int, rate: float = 0.01, chunk: int = 1) -> ByteCNN | None:
     """A network for ``classes``, each sampled text weighing as many as its label stands for; None without texts."""
     if not labels:
         return None
@@ -69,5 +77,5 @@ def fit_cnn(windows: np.ndarray, doc: np.ndarray, labels: list, classes: list, c
     seen = np.bincount(y, minlength=len(classes))
     weights = np.array([counts[v] / seen[place[v]] for v in labels], np.float32)
     model = ByteCNN(len(classes))
-    model.fit(windows, doc, y, weights / weights.mean(), epochs=epochs, rate=rate)
+    model.fit(windows, doc, y, weights / weights.mean(), epochs=epochs, rate=rate, chunk=chunk)
     return model
