@@ -62,8 +62,8 @@ class ByteCNN:
         return z / z.sum(axis=1, keepdims=True)
 
     # ------------------------------------------------------------- training
-    def fit(self, windows: np.ndarray, doc: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 11) -> None:
-        """Adam on the cross entropy. doc: the text of each window, ascending; labels and weights: of texts."""
+    def fit(self, windows: np.ndarray, doc: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 11, chunk: int = 1) -> None:
+        """Adam on the cross entropy of what ``text_features`` gives with ``chunk``. doc: the text of each window, ascending; labels and weights: of texts."""
         rng = np.random.default_rng(seed)
         firsts = np.searchsorted(doc, np.arange(len(labels) + 1))
         params = [*self.tables.values(), self.shift, self.linear, self.bias]
@@ -75,7 +75,7 @@ class ByteCNN:
                 chosen = np.sort(order[at : at + batch])
                 rows = np.concatenate([np.arange(firsts[d], firsts[d + 1]) for d in chosen])
                 own = np.repeat(np.arange(len(chosen)), np.diff(firsts)[chosen])
-                gradients = self._gradients(windows[rows], own, labels[chosen], weights[chosen])
+                gradients = self._gradients(windows[rows], own, labels[chosen], weights[chosen], chunk)
                 step += 1
                 pace = rate * (1 - 0.9 * epoch / epochs)
                 for p, g, (m, v) in zip(params, gradients, moments, strict=True):
@@ -85,7 +85,7 @@ class ByteCNN:
                     v += 0.001 * g * g
                     p -= (pace / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
-    def _gradients(self, windows: np.ndarray, own: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    def _gradients(self, windows: np.ndarray, own: np.ndarray, labels: np.ndarray, weights: np.ndarray, chunk: int = 1) -> list[np.ndarray]:
         x = np.ascontiguousarray(windows.T).astype(np.intp)
         n = x.shape[1]
         values, places = [], []
@@ -97,8 +97,15 @@ class ByteCNN:
                     response += table[j][x[t + j]]
                 np.copyto(place, t, where=response > best)
                 np.maximum(best, response, out=best)
+            # A chunk's maximum is that of its windows; it is learned from the window that has it.
+            alone, at, window = best.copy(), place.copy(), np.repeat(np.arange(n)[:, None], FILTERS, axis=1)
+            for k in range(1, min(chunk, n)):
+                higher = (alone[k:] > best[:-k]) & (own[k:] == own[:-k])[:, None]
+                np.copyto(best[:-k], alone[k:], where=higher)
+                np.copyto(place[:-k], at[k:], where=higher)
+                np.copyto(window[:-k], np.arange(k, n)[:, None], where=higher)
             values.append(best)
-            places.append(place)
+            places.append((place, window))
         raw = np.concatenate(values, axis=1) + self.shift
         active = np.maximum(raw, 0)
         firsts = np.searchsorted(own, np.arange(len(labels)))
@@ -120,11 +127,11 @@ class ByteCNN:
         g = np.where(raw > 0, g, 0).astype(np.float32)
         out = []
         columns = np.arange(FILTERS)
-        for k, (w, place) in enumerate(zip(self.tables, places, strict=True)):
+        for k, (w, (place, window)) in enumerate(zip(self.tables, places, strict=True)):
             mine = g[:, k * FILTERS : (k + 1) * FILTERS]
             table = np.empty((w, 256, FILTERS), np.float32)
             for j in range(w):
-                byte = x[place + j, np.arange(n)[:, None]]
+                byte = x[place + j, window]
                 table[j] = np.bincount((byte * FILTERS + columns).ravel(), weights=mine.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
             out.append(table)
         return [*out, g.sum(axis=0), linear, bias]
@@ -147,7 +154,7 @@ def text_features(model: ByteCNN, pairs, data: np.ndarray, offsets: np.ndarray,
     """Mean and maximum over a text's chunks, each of ``chunk`` consecutive windows (overlapping if over 1)."""
     windows, doc = windows_of(data, offsets)
     pooled = model.pooled(windows, pairs)
-    if chunk > 1 and len(doc) > 1:  # a chunk's maximum is that of its windows; a text's last window stands alone only if it is the only one
+    if chunk > 1 and len(doc) > 1:  # a chunk's maximum is that of its windows; the last chunks of a text are shorter
         together = pooled.copy()
         for k in range(1, chunk):
             same = doc[k:] == doc[:-k]

@@ -15,8 +15,8 @@ from .bytecnn import ByteCNN, text_features
 from .common import crc_mod, documents, dropped, share, shared_value
 from .training import fit_cnn, sampled, training_windows
 
-#: Sampled texts of each label, and windows of each text: what training is bounded by.
-PER_LABEL, WINDOWS = 900, 16
+#: Sampled texts of each label, and windows of each text: what training is bounded by. Nearly all texts have fewer windows.
+PER_LABEL, WINDOWS = 900, 64
 EPOCHS, RATE = 24, 0.02
 THRESHOLD = 0.3
 #: Windows of a chunk; a chunk starts at each window, so neighbours overlap by half.
@@ -24,10 +24,10 @@ CHUNK = 2
 
 
 def fit(texts: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> ByteCNN | None:
-    """A network learned from texts (id, text) and labels (id, label 0 or 1)."""
+    """A network learned from texts (id, text) and labels (id, label 0 or 1), on the features that are scored."""
     chosen, counts = sampled(labels, per_label, seed=6)
     windows, doc, own = training_windows(texts, chosen, WINDOWS)
-    return fit_cnn(windows, doc, own, [0, 1], counts, EPOCHS, RATE)
+    return fit_cnn(windows, doc, own, [0, 1], counts, EPOCHS, RATE, CHUNK)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], text_col: str, shared, threshold: float) -> Iterator[pa.RecordBatch]:
