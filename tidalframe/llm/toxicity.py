@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 
 from . import bytetext
 from .common import crc_mod, documents, dropped, share, shared_value, written
-from .training import sampled
+from .training import one_of_each_id, sampled
 
-#: Bytes of an n-gram, the predicted one included.
-ORDER = 5
+#: Bytes of an n-gram, the predicted one included; with its class mark and CONTEXT it has to fit a long.
+ORDER = 7
 DISCOUNT = 0.75
 CONCENTRATION = 5.0
 #: Ratios of a word beyond which it counts as evidence.
@@ -263,7 +263,7 @@ def _featured(batches: Iterator[pa.RecordBatch], tables: list) -> Iterator[pa.Re
     for batch in batches:
         for part in bytetext.parts(batch, "text"):
             f = _features(tables, *bytetext.buffers(part.column("text")))
-            yield pa.RecordBatch.from_pydict({"label": part.column("label"), "features": pa.array(f.tolist(), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "label": part.column("label"), "features": pa.array(f.tolist(), pa.list_(pa.float64()))})
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,15 +290,16 @@ def fit(texts: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
 
     A fifth of the labels, by hash, is left out of the counts: a bounded sample of it fits the curve.
     """
-    labels = labels.where("id is not null and label is not null").select("id", F.col("label").cast("int").alias("label"))
+    labels = labels.where("id is not null and label is not null").select("id", F.col("label").cast("int").alias("label")).distinct()
     fold = F.pmod(F.xxhash64("id", F.lit(77)), F.lit(5))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("g", "t", "o")])
     partial = _joined(texts, labels.where(fold != 0)).mapInArrow(_counted, schema)
     counts = written(partial.groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "ngrams")
     tables = _tables(ratios(counts).select("key", "ratio").union(backed_off(counts)))
     chosen, sizes = sampled(labels.where(fold == 0), per_class, seed=7)
-    kinds = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(lambda b: _featured(b, tables), kinds).collect()
+    kinds = T.StructType([texts.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    found = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(lambda b: _featured(b, tables), kinds)
+    rows = one_of_each_id(found, "features").orderBy("id", "label").collect()  # at most per_class of each label
     y = np.array([r.label for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
