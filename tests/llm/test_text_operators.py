@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidalframe.llm import bytecnn, bytetext, decontaminate, langid, quality, tokens, toxicity
+from tidalframe.llm import bytecnn, bytetext, common, decontaminate, langid, quality, tokens, toxicity, training
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -224,7 +226,9 @@ def test_all_counted_ngrams_are_broadcast(spark, monkeypatch):
     assert len(tables) == 5 and np.array_equal(toxicity._ratio(tables, keys), np.arange(1, len(keys) + 1))
 
 
-def test_uncounted_ngrams_back_off_to_their_context(spark):
+def test_uncounted_ngrams_back_off_to_their_context(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ORDER", 5)
+    monkeypatch.setattr(toxicity, "CONTEXT", 1 << 40)
     texts = {1: b"abcde abcdf abcde", 0: b"abcdg xyxy xyz"}
     seen = {}
     for label, text in texts.items():
@@ -241,6 +245,170 @@ def test_uncounted_ngrams_back_off_to_their_context(spark):
     assert np.allclose(got[2:], [own[g] for g in seen], atol=1e-6)
 
 
+def spelled(text):
+    """N-grams of all words as byte strings: a space, the word and its end, up to ORDER bytes."""
+    out = []
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower()):
+        whole = b" " + word + b" "
+        out += [whole[max(0, i - toxicity.ORDER + 1) : i + 1] for i in range(1, len(whole))]
+    return out
+
+
+def naive_ratio(texts):
+    """The log-likelihood ratio of an n-gram (byte string), straight from the definition."""
+    own = [Counter(g for t, y in texts if y == c for g in spelled(t)) for c in (0, 1)]
+    kinds = set(own[0]) | set(own[1])
+    pad = lambda g: g.rjust(toxicity.ORDER, b"\0")
+    levels = {toxicity.ORDER: {pad(g): own[0][g] + own[1][g] for g in kinds}}
+    for size in range(toxicity.ORDER - 1, 0, -1):
+        levels[size] = dict(Counter(g[1:] for g in levels[size + 1]))
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        level = levels[len(g)]
+        follow = {h: n for h, n in level.items() if h[:-1] == g[:-1]}
+        return (max(level[g] - 0.75, 0) + 0.75 * len(follow) * shared(g[1:])) / sum(follow.values())
+
+    def ratio(g):
+        g, p = pad(g), []
+        for c in (1, 0):
+            follow = {h: n for h, n in ((pad(k), own[c][k]) for k in kinds) if h[:-1] == g[:-1] and n}
+            total, rest = sum(follow.values()) + 5, 0.75 * len(follow) + 5
+            p.append((rest / total,) if g not in levels[toxicity.ORDER] else ((max(follow.get(g, 0) - 0.75, 0) + rest * shared(g)) / total,))
+        return np.log(p[0][0] / p[1][0])
+
+    return ratio
+
+
+def test_toxicity_ratios_and_scores_equal_the_definition(spark):
+    rng = random.Random(31)
+    stems = ["stone", "river", "cloud", "meadow", "vile", "rotten", "Éclat", "x1"]
+    texts = [(" ".join(rng.choice(stems[: 4 if y == 0 else 8]) + rng.choice(["", "s", "ed", "ing"]) for _ in range(rng.randint(3, 25))), y) for y in (0, 1) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "id long, text string, y int")
+    labels = rows.select("id", F.col("y").alias("label"))
+    model = toxicity.fit(rows.select("id", "text"), labels)
+    tables, (mean, spread, b) = model
+    fold = {r.id for r in labels.where(F.pmod(F.xxhash64("id", F.lit(77)), F.lit(5)) != 0).collect()}
+    ratio = naive_ratio([t for i, t in enumerate(texts) if i in fold])
+    new = ["rottenest river", "", "?!", "stone zebra", "VILEED Éclats x1"]
+    got = {r.text: r.score for r in toxicity.score_toxicity(spark.createDataFrame([(t,) for t in new] + [(t,) for t, _ in texts[::17]], "text string"), model).collect()}
+    for text, score in got.items():
+        words = [sum(ratio(g) for g in spelled(w)) for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+        x = [sum(words) / max(1, len(words))] + [np.sqrt(sum(max(w - e, 0) for w in words) / max(1, len(words))) for e in toxicity.EVIDENCE]
+        assert abs(score - 1 / (1 + np.exp(-np.clip(b[0] + ((np.array(x) - mean) / spread) @ b[1:], -30, 30)))) < 1e-4
+
+
+# ------------------------------------------------------------------ the network, straight from its definition
+def naive_windows(model, text):
+    """Shifted maxima of each filter over each window of a text's bytes, cut at zero."""
+    raw = (text or "").encode()
+    padded = raw + bytes(bytecnn.WINDOW + bytecnn.AHEAD)
+    out = []
+    for start in range(0, max(1, len(raw)), bytecnn.WINDOW):
+        best = []
+        for w, table in model.tables.items():
+            responses = [sum(table[j][padded[t + j]] for j in range(w)) for t in range(start, start + bytecnn.WINDOW)]
+            best.append(np.max(responses, axis=0))
+        out.append(np.maximum(np.concatenate(best) + model.shift, 0))
+    return out
+
+
+NETWORK_TEXTS = ["", "short", "naïve 中文 " * 60, "x" * 256, "y" * 257, "".join(random.Random(3).choices("abc de", k=1300))]
+
+
+def test_quality_scores_equal_a_naive_network(spark):
+    model = bytecnn.ByteCNN(2, seed=4)
+    df = spark.createDataFrame([(t,) for t in [None, *NETWORK_TEXTS]], "text string")
+    for r in quality.score_quality(df, model).collect():
+        windows = naive_windows(model, r.text)
+        chunks = [np.maximum(a, b) for a, b in zip(windows, [*windows[1:], windows[-1]])]
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ model.linear + model.bias
+        assert abs(r.score - 1 / (1 + np.exp(z[0] - z[1]))) < 1e-4 and r.predicted == (r.score >= 0.3)
+
+
+def test_language_scores_equal_a_naive_network(spark):
+    model = bytecnn.ByteCNN(3, seed=5)
+    df = spark.createDataFrame([(t,) for t in NETWORK_TEXTS[1:]], "text string")
+    for r in langid.identify_languages(df, (["aa", "bb", "cc"], model)).collect():
+        raw, total = r.text.encode(), 0
+        for k, f in enumerate(naive_windows(model, r.text)):
+            z = np.concatenate([f, f]) @ model.linear + model.bias
+            total = total + np.exp(z) / np.exp(z).sum() * len(raw[256 * k : 256 * k + 256])
+        p = total / len(raw)
+        assert abs(r.score - p.max()) < 1e-4 and r.lang_pred == ["aa", "bb", "cc"][p.argmax()]
+
+
+def test_gradients_of_chunked_windows_equal_differences():
+    rng = np.random.default_rng(6)
+    model = bytecnn.ByteCNN(2, seed=8)
+    model.tables = {w: t.astype(np.float64) for w, t in model.tables.items()}
+    model.linear = rng.standard_normal(model.linear.shape)
+    data = rng.integers(97, 123, 1500).astype(np.uint8)
+    offsets = np.array([0, 200, 900, 1500])
+    windows, doc = bytecnn.windows_of(data, offsets)
+    y, weights = np.array([0, 1, 1]), np.array([1.0, 2.0, 1.0])
+
+    def loss():
+        p = model.probabilities(bytecnn.text_features(model, model.pairs(), data, offsets, 2))
+        return -(weights / weights.sum() * np.log(p[np.arange(3), y])).sum()
+
+    gradients = model._gradients(windows, doc, y, weights, 2)
+    for k, w in enumerate(bytecnn.WIDTHS):
+        at = np.argsort(-np.abs(gradients[k]).ravel())[[0, 5, 20]]
+        for i in at:
+            place = np.unravel_index(i, gradients[k].shape)
+            kept, step = model.tables[w][place], 2e-3
+            model.tables[w][place] = kept + step
+            up = loss()
+            model.tables[w][place] = kept - step
+            down = loss()
+            model.tables[w][place] = kept
+            assert abs((up - down) / (2 * step) - gradients[k][place]) < 0.05 * abs(gradients[k][place]) + 2e-3
+
+
+def test_training_samples_of_repeated_ids_stay_bounded(spark):
+    texts = spark.range(2000).select(F.lit(7).cast("long").alias("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    chosen, counts = training.sampled(texts.select("id", F.lit("a").alias("label")), 600)
+    windows, doc, labels = training.training_windows(texts, chosen, 3)
+    again = training.training_windows(texts.repartition(7), chosen, 3)
+    assert counts == {"a": 1} and labels == ["a"] and len(windows) == 1 and np.array_equal(windows, again[0])
+
+
+def test_null_and_repeated_ids_are_judged(spark, tmp_path):
+    rows = [(None, "the river runs", "en"), (None, None, None), *[(4, f"der fluss {i}", "de") for i in range(9)], *[(i, "the river", "en") for i in range(10, 30)]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1, 1), *[(i, i % 2, i % 3 % 2) for i in range(4, 30)] * 2], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (langid.op1_langid, quality.op6_quality, toxicity.op7_toxicity):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == len(rows) and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]", applicationId="a"))
+    with pytest.raises(RuntimeError):
+        common.scratch_dir(session)
+
+
+def test_benchmarks_in_blocks_of_bounded_size_and_long_items(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 3, 8, 40, 400])))) for i in range(60)] + [(None, "null item words that no one else has here at all")]
+    texts = []
+    for _ in range(120):
+        words = [word() for _ in range(rng.randint(0, 30))]
+        passage = rng.choice(items)[1].split()
+        at = rng.randrange(len(passage) + 1)
+        texts.append(" ".join(words + passage[at : at + rng.randint(0, 20)] + words[:3]))
+    texts.append("x null item words that no one else has here at all y")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(decontaminate.decontaminate(df, benchmark, clean=True).collect())
+    assert whole == sorted(decontaminate.decontaminate(df, benchmark, clean=True, block_bytes=700).collect())
+    assert [r.n_hit for r in whole if r.doc_id == 120] == [11] and [r.n_items for r in whole if r.doc_id == 120] == [0]
+    assert sum(r.n_hit > 0 for r in whole) > 30
+
+
 def test_word_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"foo bar foo", np.uint8)
     starts, ends = bytetext.runs(bytetext.ALNUM[data], np.array([0, 11]))

@@ -18,8 +18,8 @@ from .training import fit_cnn, sampled, training_windows
 #: Sampled texts of each language, and windows of each text: what training is bounded by.
 PER_LANGUAGE, WINDOWS = 600, 3
 EPOCHS = 6
-#: The pipeline lets texts go whose prediction is less sure, or that have no letter.
-LEAST_SCORE = 0.3
+#: The pipeline lets texts go for which no language has half of the probability, or that have no letter.
+LEAST_SCORE = 0.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = True
