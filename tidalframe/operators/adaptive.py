@@ -49,17 +49,31 @@ def weighted_energy(signal: DataFrame, pole: float) -> DataFrame:
     return out.groupBy("stream").agg(F.avg("e").alias("energy"))
 
 
+#: Fixed values of the tracked range: shares by which it follows, and the least gap as a share of the value.
+FOLLOW, LOWER, NARROW, GAP = 0.3, 0.14, 0.07, 6.0
+
+
 def tracked_range(signal: DataFrame) -> DataFrame:
-    """(stream, t, low, high): a range that opens by 0.3 of the way and closes by 0.14 and 0.07, a sixth of the value wide at least."""
+    """(stream, t, low, high): a range that follows the value.
+
+    A value above it becomes its top and lifts its foot by FOLLOW of the excess; one below it moves the foot by
+    LOWER and the top by NARROW of what is missing; one inside draws both ends in. A range narrower than a sixth
+    of the value is set to that width, shared out as the value lay in it, from 0 on.
+    """
 
     def step(state: tuple | None, row: tuple) -> tuple:
         v = row[0]
         low, high = state if state else (v, v)
-        high += (0.3 if v > high else 0.14) * (v - high)
-        low += (0.14 if v < low else 0.07) * (v - low)
-        if high - low < v / 6.0:
-            middle = (high + low) / 2
-            low, high = middle - v / 12.0, middle + v / 12.0
+        over, under = max(v - high, 0.0), max(low - v, 0.0)
+        if under:
+            low, high = low - LOWER * under, high - NARROW * under
+        else:
+            low, high = low + FOLLOW * (over or v - low), high + over - (0.0 if over else NARROW * (high - v))
+        gap = v / GAP
+        if high - low < gap:
+            below, above = max(v - low, 0.0), max(high - v, 0.0)
+            share = above / (below + above) if below + above > 0 else 0.5
+            low, high = max(v - (1.0 - share) * gap, 0.0), v + share * gap
         return (low, high), (low, high)
 
     fields = [T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]

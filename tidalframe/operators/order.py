@@ -55,27 +55,32 @@ def running_peak(signal: DataFrame, attack: int) -> DataFrame:
     return signal.withColumn("peak", F.greatest(F.lit(1.0), F.max(F.abs("v")).over(in_stream().rowsBetween(-attack, 0))))
 
 
+#: Fixed value: the share of the way to a lower gain that the look-ahead has to cover.
+REACH = 0.9
+
+
 def limited(signal: DataFrame, attack: int, release: int) -> DataFrame:
     """(stream, t, gain, limited): a look-ahead limiter to 1, ``attack`` rows late.
 
-    The running peak is a window; the smoothing of the gain, fast down and slow up, is a recurrence.
+    The peak ahead is a window. The gain moves towards an aim, of which a tenth is left after ``attack`` + 1 rows
+    down or ``release`` + 1 rows up. The aim is the peak's reciprocal; while the gain has to fall it lies so far beyond
+    that nine tenths of the way to it are enough, and the lowest such aim is kept. The gain never falls under the reciprocal.
     """
-    down, up = 0.1 ** (1.0 / (attack + 1)), 0.1 ** (1.0 / (release + 1))
-    ready = delayed(running_peak(signal, attack), attack)
+    left = {False: 0.1 ** (1.0 / (release + 1)), True: 0.1 ** (1.0 / (attack + 1))}
+    ready = delayed(running_peak(signal, attack), attack).withColumn("bound", 1.0 / F.col("peak"))
 
     def step(state: tuple, row: tuple) -> tuple:
-        correction, smooth = state
-        peak, late = row
-        target = 1.0 / peak
-        correction = min(correction, (target - 0.1 * smooth) / 0.9) if target < smooth else target
-        if correction < smooth:
-            smooth = max(down * (smooth - correction) + correction, target)
-        else:
-            smooth = correction + up * (smooth - correction)
-        return (correction, smooth), (smooth, max(-1.0, min(1.0, late * smooth)))
+        aim, gain = state
+        bound, late = row
+        beyond = gain + (bound - gain) / REACH
+        aim = min(aim, beyond) if bound < gain else bound
+        falls = aim < gain
+        gain = aim + left[falls] * (gain - aim)
+        gain = max(gain, bound) if falls else gain
+        return (aim, gain), (gain, min(max(late * gain, -1.0), 1.0))
 
     fields = [T.StructField("gain", T.DoubleType()), T.StructField("limited", T.DoubleType())]
-    out = ordered_scan(ready, "stream", ["t"], ["peak", "delayed"], lambda: (1.0, 1.0), step, fields)
+    out = ordered_scan(ready, "stream", ["t"], ["bound", "delayed"], lambda: (1.0, 1.0), step, fields)
     return out.select("stream", "t", "gain", "limited")
 
 

@@ -25,18 +25,25 @@ def _levels(magnitude: np.ndarray, step) -> np.ndarray:
     return np.minimum(np.floor(np.power(magnitude / step, 0.75) + 0.5), MOST_LEVEL)
 
 
-def _chosen(x: np.ndarray, allowed: float) -> int:
+#: Bands that are tried at once: a matrix of bands by scales by lines.
+_TOGETHER = 64
+
+
+def _chosen(x: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """The scale of each row of ``x``: the end of the first run of scales whose noise is allowed, else the finest; 0 of silence."""
     magnitude = np.abs(x)
-    if not (magnitude > 1e-20).any():
-        return 0
-    levels = _levels(magnitude[None, :], _STEPS[:, None])
-    noise = ((magnitude[None, :] - np.power(levels, 4.0 / 3.0) * _STEPS[:, None]) ** 2).sum(axis=1)
-    fits = noise <= max(allowed / MARGIN, 1e-20)
-    first = int(fits.argmax())
-    if not fits[first]:
-        return LEAST_SCALE
-    rest = ~fits[first:]
-    return int(_SCALES[first + rest.argmax() - 1]) if rest.any() else MOST_SCALE
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), _TOGETHER):
+        m = magnitude[at : at + _TOGETHER, None, :]
+        levels = _levels(m, _STEPS[:, None])
+        noise = ((m - np.power(levels, 4.0 / 3.0) * _STEPS[:, None]) ** 2).sum(axis=2)
+        fits = noise <= np.maximum(allowed[at : at + _TOGETHER, None] / MARGIN, 1e-20)
+        first = fits.argmax(axis=1)
+        ends = ~fits & (np.arange(len(_SCALES)) > first[:, None])
+        last = np.where(ends.any(axis=1), ends.argmax(axis=1) - 1, len(_SCALES) - 1)
+        scale = np.where(fits.any(axis=1), _SCALES[last], LEAST_SCALE)
+        out[at : at + _TOGETHER] = np.where((m > 1e-20).any(axis=(1, 2)), scale, 0)
+    return out
 
 
 def quantised_bands(bands: DataFrame) -> DataFrame:
@@ -49,8 +56,16 @@ def quantised_bands(bands: DataFrame) -> DataFrame:
     @F.pandas_udf("struct<scale: int, levels: array<int>>")
     def quantise(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for x, allowed in batches:
-            scales = [_chosen(v, a) for v, a in zip(x, allowed, strict=True)]
-            levels = [(np.where(np.abs(v) <= 1e-20, 0, _levels(np.abs(v), 2.0 ** (0.25 * s))) * np.sign(v)).astype(np.int32) for v, s in zip(x, scales, strict=True)]
+            scales, levels = np.zeros(len(x), np.int32), np.empty(len(x), object)
+            sizes = np.array([len(v) for v in x], int)
+            for n in np.unique(sizes):  # bands of one width together
+                at = np.flatnonzero(sizes == n)
+                v = np.stack(x.iloc[at].to_numpy()).astype(float)
+                own = _chosen(v, allowed.iloc[at].to_numpy(float))
+                q = (np.where(np.abs(v) <= 1e-20, 0, _levels(np.abs(v), np.power(2.0, 0.25 * own)[:, None])) * np.sign(v)).astype(np.int32)
+                scales[at] = own
+                for i, row in zip(at, q, strict=True):
+                    levels[i] = row
             yield pd.DataFrame({"scale": scales, "levels": levels})
 
     rows = bands.withColumn("__q", quantise("x", "allowed"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def best_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """(request_id, rule_id): the rule that suits each request best, null where none does.
 
-    Rules (rule_id, pos, effect, downmix_id, lower, upper, depends_on) are a catalogue of bounded size.
+    Rules (rule_id, pos, effect, downmix_id, lower, upper, depends_on) are a catalogue, a literal or a small table; it is
+    broadcast, so it must fit the memory of an executor.
     One suits if its downmix is the request's or the wildcard 127, if it depends on no other or that is
     allowed, and if the loudness lies in its range. A shared effect counts most, then the exact
     downmix, then independence; of equals the last by ``pos`` wins.
@@ -31,11 +32,15 @@ def best_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def loudness(requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """(request_id, loudness): the first entry of a set with the request's downmix, else with the wildcard 127."""
+    """(request_id, loudness): of the album's or the tracks' entries, the first of a set with the request's downmix, else the first with the wildcard 127.
+
+    An entry whose loudness is null counts as found, but gives way to the wildcard's.
+    """
     e, q = F.broadcast(entries.alias("e")), requests.alias("q")
-    fits = (F.col("e.set_id") == F.col("q.set_id")) & F.col("e.downmix_id").isin(127) | (F.col("e.set_id") == F.col("q.set_id")) & (F.col("e.downmix_id") == F.col("q.downmix_id"))
-    order = F.struct((F.col("e.downmix_id") != F.col("q.downmix_id")).alias("wild"), F.col("e.pos").alias("pos"), F.col("e.loudness").alias("loudness"))
-    return q.join(e, fits, "left").groupBy("q.request_id").agg(F.min(F.when(F.col("e.pos").isNotNull(), order))["loudness"].alias("loudness"))
+    exact, wild = F.col("e.downmix_id") == F.col("q.downmix_id"), F.col("e.downmix_id") == 127
+    fits = (F.col("e.album") == F.col("q.album")) & (F.col("e.set_id") == F.col("q.set_id")) & (exact | wild)
+    first = lambda which: F.min(F.when(which, F.struct(F.col("e.pos").alias("pos"), F.col("e.loudness").alias("loudness"))))["loudness"]
+    return q.join(e, fits, "left").groupBy("q.request_id").agg(F.coalesce(first(exact), first(wild)).alias("loudness"))
 
 
 def first_rank(df: DataFrame, by: list[str], order: list) -> DataFrame:

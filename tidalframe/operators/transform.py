@@ -37,6 +37,59 @@ def mdct(x: Column, lines: int) -> Column:
     return _product(window * np.cos(np.pi / lines * (n + lines / 2) * k) * np.sqrt(2 / lines))(x)
 
 
+def short_blocks(x: Column, lines: int, shorts: int) -> Column:
+    """2 N samples of N lines in ``shorts`` runs: each run's short transform under its sine window, side by side in the middle.
+
+    All of it is one linear map of a frame, so it is one matrix product.
+    """
+    m = lines // shorts
+    k, n = np.arange(m)[:, None] + 0.5, np.arange(2 * m)[None, :] + 0.5
+    block = np.cos(np.pi / m * (n + m / 2) * k) * np.sin(np.pi / (2 * m) * n)
+    kernel = np.zeros((lines, 2 * lines))
+    for i in range(shorts):
+        at = (lines - m) // 2 + i * m
+        kernel[i * m : (i + 1) * m, at : at + 2 * m] = block
+    return _product(kernel)(x)
+
+
+def sine_shape(i: Column, n: int) -> Column:
+    """Point ``i`` of a sine window of ``n`` points."""
+    return F.sin(F.lit(np.pi / n) * (i + 0.5))
+
+
+def power_shape(i: Column, n: int) -> Column:
+    """Point ``i`` of a power-complementary window of ``n`` points: a sine of a squared sine."""
+    return F.sin(F.lit(np.pi / 2) * F.pow(sine_shape(i, n), F.lit(2.0)))
+
+
+def switched_window(sequence: Column, i: Column, lines: int, shorts: int, before, now) -> Column:
+    """Point ``i`` of the window of 2 N points for a ``sequence``: long, start (ends in a short slope) or stop (begins with one); else null.
+
+    ``before`` shapes the rising half, ``now`` the falling one.
+    """
+    m = lines // shorts
+    low = (lines - m) // 2
+    rise, fall = before(i, 2 * lines), now(i, 2 * lines)
+    start = F.when(i < lines + low, 1.0).when(i < lines + low + m, now(i - (lines + low - m), 2 * m)).otherwise(0.0)
+    stop = F.when(i < low, 0.0).when(i < low + m, before(i - low, 2 * m)).otherwise(1.0)
+    return F.when(i < lines, F.when(sequence.isin("long", "start"), rise).when(sequence == "stop", stop)).otherwise(F.when(sequence.isin("long", "stop"), fall).when(sequence == "start", start))
+
+
+def control_gain(control: Column, cut: float, boost: float, target: Column, level: Column) -> Column:
+    """The gain of a control byte: its low bits in 24ths of an octave, cut if the top bit is set, else boosted; moved from ``level`` to ``target`` where both are known."""
+    scale = F.when(control >= 128, -cut).otherwise(boost)
+    moved = F.coalesce(F.pow(F.lit(2.0), -(target - level) / 24.0), F.lit(1.0))
+    return F.pow(F.lit(2.0), scale * (control % 128) / 24.0) * moved
+
+
+def concealed_scale(kind: Column, gain: Column, noise: Column) -> Column:
+    """What a lost scale of a section's ``kind`` becomes: one value for all spectral ones, one for noise, one for intensity.
+
+    Fixed values: kinds 0 and 12 are empty, 13 is noise, 14 and 15 are intensity; offsets 100 and 246.
+    """
+    return F.when(kind.isin(0, 12), 0).when(kind == 13, gain - 246 + F.coalesce(noise, F.lit(0))).when(kind.isin(14, 15), -100).otherwise(gain - 100).cast("int")
+
+
 def sine_window(spark: SparkSession, n: int) -> DataFrame:
     """(i, w): sin(pi/n (i + 1/2))."""
     return spark.range(n).select(F.col("id").alias("i"), F.sin(F.lit(np.pi / n) * (F.col("id") + 0.5)).alias("w"))

@@ -127,9 +127,12 @@ SELECT stream, round(avg(y * y), 6) AS energy FROM c WHERE t >= 0 GROUP BY strea
         tracked_range,
         _SIGNAL
         + """, c AS (SELECT stream, CAST(-1 AS BIGINT) AS t, v AS low, v AS high FROM signal WHERE t = 0
-UNION ALL SELECT stream, t, CASE WHEN h - l < v / 6 THEN (h + l) / 2 - v / 12 ELSE l END, CASE WHEN h - l < v / 6 THEN (h + l) / 2 + v / 12 ELSE h END FROM (
-  SELECT s.stream, s.t, s.v, high + CASE WHEN s.v > high THEN 0.3 ELSE 0.14 END * (s.v - high) AS h, low + CASE WHEN s.v < low THEN 0.14 ELSE 0.07 END * (s.v - low) AS l
-  FROM c JOIN signal s ON s.stream = c.stream AND s.t = c.t + 1)) SELECT stream, t, round(low + 1e-9, 5) AS low, round(high + 1e-9, 5) AS high FROM c WHERE t >= 0""",
+UNION ALL SELECT stream, t, CASE WHEN h - l >= v / 6 THEN l WHEN below + above > 0 THEN greatest(v - below / (below + above) * v / 6, 0) ELSE greatest(v - v / 12, 0) END,
+  CASE WHEN h - l >= v / 6 THEN h WHEN below + above > 0 THEN v + above / (below + above) * v / 6 ELSE v + v / 12 END FROM (
+  SELECT *, greatest(v - l, 0) AS below, greatest(h - v, 0) AS above FROM (
+    SELECT s.stream, s.t, s.v, CASE WHEN s.v > high THEN low + 0.3 * (s.v - high) WHEN s.v < low THEN low - 0.14 * (low - s.v) ELSE low + 0.3 * (s.v - low) END AS l,
+      CASE WHEN s.v > high THEN high + (s.v - high) WHEN s.v < low THEN high - 0.07 * (low - s.v) ELSE high - 0.07 * (high - s.v) END AS h
+    FROM c JOIN signal s ON s.stream = c.stream AND s.t = c.t + 1))) SELECT stream, t, round(low + 1e-9, 5) AS low, round(high + 1e-9, 5) AS high FROM c WHERE t >= 0""",
     ),
     "onset_slot": (
         onset_slot,

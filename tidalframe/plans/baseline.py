@@ -34,9 +34,12 @@ def b_rollup(spark, d):
 
 
 def b_set_ops(spark, d):
-    e = table(spark, d, "events")
-    of = lambda kind: e.where(F.col("event_type") == kind).select("user_id").distinct()
-    return of("purchase").intersect(of("signup")).exceptAll(of("error")).union(of("click").exceptAll(of("view")))
+    """Users and days with a purchase and a click but no error, and those with a signup but no view."""
+    e = table(spark, d, "events").select("user_id", F.date_trunc("day", "ts").alias("day"), "event_type")
+    of = lambda kind: e.where(F.col("event_type") == kind).select("user_id", "day")
+    both = of("purchase").intersect(of("click")).subtract(of("error"))
+    out = both.union(of("signup").distinct().exceptAll(of("view").distinct()))
+    return out.groupBy("user_id", "day").agg(F.count("*").alias("n"))
 
 
 def b_sessions(spark, d):
@@ -69,8 +72,9 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
     "b_rollup": (b_rollup, "SELECT n_name, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)"),
     "b_set_ops": (
         b_set_ops,
-        """SELECT user_id FROM ((SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'signup') EXCEPT SELECT user_id FROM events WHERE event_type = 'error')
-UNION ALL SELECT user_id FROM (SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'view')""",
+        """WITH e AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type FROM events)
+SELECT user_id, day, count(*) AS n FROM (((SELECT user_id, day FROM e WHERE event_type = 'purchase' INTERSECT SELECT user_id, day FROM e WHERE event_type = 'click') EXCEPT SELECT user_id, day FROM e WHERE event_type = 'error')
+UNION ALL (SELECT user_id, day FROM e WHERE event_type = 'signup' EXCEPT SELECT user_id, day FROM e WHERE event_type = 'view')) GROUP BY user_id, day""",
     ),
     "b_sessions": (
         b_sessions,

@@ -54,6 +54,50 @@ def frame_scan(spark, d):
     return found.select("blob_id", "seq", "offset", "rate_index", "channels", "frame_length", F.md5("payload").alias("payload_md5"))
 
 
+def _cut(spark, d, stream, size: int):
+    """A stream's bytes in pieces of ``size``, as a socket would give them."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("data") / size)).cast("int")
+    rows = stream.select("blob_id", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
+    return rows.select("blob_id", "piece", F.substring("data", F.col("piece") * size + 1, F.lit(size)).alias("data"))
+
+
+def frame_stream(spark, d):
+    found = S.scan_pieces(_cut(spark, d, _streams(spark, d), 777), "blob_id", "piece", "data")
+    return found.select("blob_id", "seq", "offset", "rate_index", "channels", "frame_length", F.md5("payload").alias("payload_md5"))
+
+
+def loas_stream(spark, d):
+    noisy = F.when(F.col("seq") % 3 == 0, F.concat(F.unhex(F.lit(GARBAGE)), S.loas_framed(F.col("payload")))).otherwise(S.loas_framed(F.col("payload")))
+    rows = _pieces(spark, d).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("seq", noisy.alias("b")))).alias("x"))
+    stream = rows.select("blob_id", F.aggregate("x", F.to_binary(F.lit(""), F.lit("hex")), lambda a, p: F.concat(a, p["b"])).alias("data"))
+    found = S.scan_pieces(_cut(spark, d, stream, 1009), "blob_id", "piece", "data", loas=True)
+    return found.select("blob_id", "seq", "offset", "length", F.md5("payload").alias("payload_md5"))
+
+
+def block_frames(spark, d):
+    """Four payloads a checked frame, written and read again."""
+    rows = _pieces(spark, d).groupBy("blob_id", F.expr("seq div 4").alias("frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]).alias("x"))
+    made = rows.select("blob_id", "frame", S.block_frames(F.col("x"), 1, F.col("frame") % 12, F.col("blob_id") % 8).alias("f"))
+    out = made.select("blob_id", "frame", F.length("f").alias("frame_length"), F.lower(F.hex(F.substring("f", 1, 7))).alias("head"), F.inline(S.raw_blocks(F.col("f"))))
+    return out.select("blob_id", "frame", "frame_length", "head", "block", "crc_ok", "err", F.length("payload").alias("length"), F.md5("payload").alias("payload_md5"))
+
+
+def bit_fields(spark, d):
+    data = F.col("data")
+    rows = blobs(spark, d).withColumn("data", F.concat(F.substring("data", 1, 6), F.unhex(F.when(F.col("blob_id") % 2 == 0, "0000").otherwise("0010"))))
+    return rows.select("blob_id", S.bit_field(data, 0, 11).alias("a"), S.bit_field(data, 11, 13).alias("b"), S.bit_field(data, 21, 7).alias("c"), S.zero_from(data, 48).alias("clear"))
+
+
+def frame_errors(spark, d):
+    """Frames whose header is damaged by the blob's number, and whether a decoder may conceal them rather than wait."""
+    frame = F.col("frame")
+    bad = F.col("blob_id") % 5
+    broken = F.when(bad == 1, F.substring(frame, 1, 4)).when(bad == 2, F.concat(F.unhex(F.lit("FEF1")), F.substring(frame, 3, 6000))).when(bad == 3, F.concat(F.unhex(F.lit("FFF7")), F.substring(frame, 3, 6000)))
+    broken = broken.when(bad == 4, F.concat(F.substring(frame, 1, 2), F.unhex(F.lit("74")), F.substring(frame, 4, 6000))).otherwise(frame)
+    err = S.header(broken)["err"]
+    return _framed(spark, d).select("blob_id", "seq", err.alias("err")).select("blob_id", "seq", "err", (F.col("err").isNotNull() & (F.col("err") != "short")).alias("concealable"))
+
+
 def loas_roundtrip(spark, d):
     rows = _pieces(spark, d).withColumn("f", S.loas_framed(F.col("payload")))
     return rows.select("blob_id", "seq", F.lower(F.hex(F.substring("f", 1, 3))).alias("head"), S.loas_header(F.col("f")).alias("h")).select("blob_id", "seq", "head", "h.ok", "h.length")
@@ -104,6 +148,35 @@ QUERIES = {
         + f"""SELECT blob_id, seq, CAST(sum(len + CASE WHEN seq % 3 = 0 THEN {len(GARBAGE) // 2} ELSE 0 END) OVER (PARTITION BY blob_id ORDER BY seq) - len AS BIGINT) AS "offset",
   CAST(seq % 12 AS INTEGER) AS rate_index, CAST(blob_id % 8 AS INTEGER) AS channels, CAST(len AS INTEGER) AS frame_length, md5(unhex(h)) AS payload_md5 FROM f""",
     ),
+    "frame_stream": (
+        frame_stream,
+        _PIECES
+        + f"""SELECT blob_id, seq, CAST(sum(len + CASE WHEN seq % 3 = 0 THEN {len(GARBAGE) // 2} ELSE 0 END) OVER (PARTITION BY blob_id ORDER BY seq) - len AS BIGINT) AS "offset",
+  CAST(seq % 12 AS INTEGER) AS rate_index, CAST(blob_id % 8 AS INTEGER) AS channels, CAST(len AS INTEGER) AS frame_length, md5(unhex(h)) AS payload_md5 FROM f""",
+    ),
+    "loas_stream": (
+        loas_stream,
+        _PIECES
+        + f"""SELECT blob_id, seq, CAST(sum(n + 3 + CASE WHEN seq % 3 = 0 THEN {len(GARBAGE) // 2} ELSE 0 END) OVER (PARTITION BY blob_id ORDER BY seq) - n - 3 AS BIGINT) AS "offset",
+  CAST(n AS INTEGER) AS length, md5(unhex(h)) AS payload_md5 FROM f""",
+    ),
+    "block_frames": (
+        block_frames,
+        _PIECES
+        + """, g AS (SELECT blob_id, seq // 4 AS frame, seq % 4 AS block, n, h, count(*) OVER w AS c, sum(n) OVER w AS total FROM f WINDOW w AS (PARTITION BY blob_id, seq // 4)),
+s AS (SELECT *, total + CASE WHEN c = 1 THEN 9 ELSE 9 + 2 * (c - 1) + 2 * c END AS size FROM g)
+SELECT blob_id, frame, CAST(size AS INTEGER) AS frame_length, 'fff0' || lower(lpad(to_hex(CAST((CAST(1 AS BIGINT) << 38) + ((frame % 12) << 34) + ((blob_id % 8) << 30) + (CAST(size AS BIGINT) << 13) + (2047 << 2) + c - 1 AS BIGINT)), 10, '0')) AS head,
+  CAST(block AS INTEGER) AS block, CASE WHEN c > 1 THEN true END AS crc_ok, CAST(NULL AS VARCHAR) AS err, CAST(n AS INTEGER) AS length, md5(unhex(h)) AS payload_md5 FROM s""",
+    ),
+    "bit_fields": (
+        bit_fields,
+        """WITH b AS (SELECT doc_id AS blob_id, substr(hex(encode(text)), 1, 12) || CASE WHEN doc_id % 2 = 0 THEN '0000' ELSE '0010' END AS h FROM documents WHERE text IS NOT NULL)
+SELECT blob_id, CAST(('0x' || substr(h, 1, 6)) AS BIGINT) >> 13 AS a, CAST(('0x' || substr(h, 1, 6)) AS BIGINT) & 8191 AS b, (CAST(('0x' || substr(h, 5, 4)) AS BIGINT) >> 4) & 127 AS c, blob_id % 2 = 0 AS clear FROM b""",
+    ),
+    "frame_errors": (
+        frame_errors,
+        _PIECES + """SELECT blob_id, seq, CASE blob_id % 5 WHEN 1 THEN 'short' WHEN 2 THEN 'sync' WHEN 3 THEN 'layer' WHEN 4 THEN 'rate' END AS err, blob_id % 5 > 1 AS concealable FROM f""",
+    ),
     "loas_roundtrip": (loas_roundtrip, _PIECES + "SELECT blob_id, seq, lower(lpad(to_hex((695 << 13) + n), 6, '0')) AS head, true AS ok, CAST(n AS INTEGER) AS length FROM f"),
     "mux": (
         mux,

@@ -173,13 +173,13 @@ def section_dp(spark, d):
 
 RULES = ((0, 0, 1, 0, -40, -10, None), (1, 1, 2, 127, None, None, None), (2, 2, 3, 1, -63, -20, 1), (3, 3, 1, 1, None, None, None), (4, 4, 4, 127, -30, 0, 2), (5, 5, 1, 0, -40, -10, None))
 RULE_NAMES = ("rule_id", "pos", "effect", "downmix_id", "lower", "upper", "depends_on")
-LOUDNESS = ((0, 0, 0, -23.0), (1, 0, 127, -24.5), (2, 1, 127, -18.0), (3, 0, 0, -20.0), (4, 2, 3, -16.0))
+LOUDNESS = ((0, 0, 0, 0, -23.0), (1, 0, 0, 127, -24.5), (2, 0, 1, 127, -18.0), (3, 0, 0, 0, -20.0), (4, 0, 2, 3, -16.0), (5, 1, 0, 127, -21.0), (6, 1, 1, 2, None), (7, 1, 1, 127, -19.5), (8, 1, 2, 1, -14.0))
 
 
 def _requests(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
-    return c.select(k.alias("request_id"), (k % 4).cast("int").alias("downmix_id"), (k % 6).cast("int").alias("effect"), (k % 2 == 0).alias("allow_dependent"), F.when(k % 5 != 0, -(k % 45)).cast("int").alias("loudness"), (k % 3).cast("int").alias("set_id"))
+    return c.select(k.alias("request_id"), (k % 4).cast("int").alias("downmix_id"), (k % 6).cast("int").alias("effect"), (k % 2 == 0).alias("allow_dependent"), F.when(k % 5 != 0, -(k % 45)).cast("int").alias("loudness"), (k % 3).cast("int").alias("set_id"), F.expr("c_custkey div 3 % 2").cast("int").alias("album"))
 
 
 def _typed(spark, rows, names, floats=()):
@@ -192,20 +192,21 @@ def rule_select(spark, d):
 
 
 def loudness_select(spark, d):
-    return R.loudness(_requests(spark, d).drop("loudness"), _typed(spark, LOUDNESS, ("pos", "set_id", "downmix_id", "loudness"), ("loudness",)))
+    return R.loudness(_requests(spark, d).drop("loudness"), _typed(spark, LOUDNESS, ("pos", "album", "set_id", "downmix_id", "loudness"), ("loudness",)))
 
 
 REQUESTS = """WITH requests AS (SELECT c_custkey AS request_id, c_custkey % 4 AS downmix_id, CAST(c_custkey % 6 AS INTEGER) AS effect, c_custkey % 2 = 0 AS allow_dependent,
-  CASE WHEN c_custkey % 5 <> 0 THEN -(c_custkey % 45) END AS loudness, c_custkey % 3 AS set_id FROM customer)"""
+  CASE WHEN c_custkey % 5 <> 0 THEN -(c_custkey % 45) END AS loudness, c_custkey % 3 AS set_id, c_custkey // 3 % 2 AS album FROM customer)"""
 _null = lambda v: "NULL" if v is None else str(v)
 
 
 def nearest_entry(spark, d):
-    """The least table entry at or above a goal, else the last one."""
+    """The least table entry at or above a goal, else the last one; the greatest at or below it, else the first one."""
     entries = (3, 7, 12, 20, 31)
     p = table(spark, d, "part").select("p_partkey", "p_size")
     up = F.coalesce(*[F.when(F.lit(e) >= F.col("p_size"), e) for e in entries], F.lit(entries[-1]))
-    return p.select("p_partkey", up.alias("entry"))
+    down = F.coalesce(*[F.when(F.lit(e) <= F.col("p_size"), e) for e in reversed(entries)], F.lit(entries[0]))
+    return p.select("p_partkey", up.alias("entry"), down.alias("below"))
 
 
 GAIN_SQL = duck("signal") + """, nodes AS (SELECT stream, t, v / 100.0 AS g, v / 1000.0 - 0.05 AS s FROM signal WHERE kind = 'purchase'),
@@ -368,9 +369,9 @@ SELECT q.request_id, CAST(m.rule_id AS INTEGER) AS rule_id FROM requests q LEFT
     ),
     "loudness_select": (
         loudness_select,
-        REQUESTS + ", e(pos, set_id, downmix_id, loudness) AS (VALUES " + ", ".join(str(r) for r in LOUDNESS) + """)
-SELECT request_id, CAST(coalesce((SELECT e.loudness FROM e WHERE e.set_id = q.set_id AND e.downmix_id = q.downmix_id ORDER BY pos LIMIT 1),
-  (SELECT e.loudness FROM e WHERE e.set_id = q.set_id AND e.downmix_id = 127 ORDER BY pos LIMIT 1)) AS DOUBLE) AS loudness FROM requests q""",
+        REQUESTS + ", e(pos, album, set_id, downmix_id, loudness) AS (VALUES " + ", ".join("(" + ", ".join(map(_null, r)) + ")" for r in LOUDNESS) + """)
+SELECT request_id, CAST(coalesce((SELECT e.loudness FROM e WHERE e.album = q.album AND e.set_id = q.set_id AND e.downmix_id = q.downmix_id ORDER BY pos LIMIT 1),
+  (SELECT e.loudness FROM e WHERE e.album = q.album AND e.set_id = q.set_id AND e.downmix_id = 127 ORDER BY pos LIMIT 1)) AS DOUBLE) AS loudness FROM requests q""",
     ),
-    "nearest_entry": (nearest_entry, "SELECT p_partkey, coalesce((SELECT min(x) FROM (VALUES (3), (7), (12), (20), (31)) e(x) WHERE x >= p_size), 31) AS entry FROM part"),
+    "nearest_entry": (nearest_entry, "SELECT p_partkey, coalesce((SELECT min(x) FROM (VALUES (3), (7), (12), (20), (31)) e(x) WHERE x >= p_size), 31) AS entry, coalesce((SELECT max(x) FROM (VALUES (3), (7), (12), (20), (31)) e(x) WHERE x <= p_size), 3) AS below FROM part"),
 }

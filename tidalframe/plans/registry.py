@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import adaptive, baseline, framing, ordered, spectral
+from . import adaptive, baseline, control, framing, ordered, spectral
 
 
 def _all() -> dict:
-    return {**spectral.QUERIES, **ordered.QUERIES, **adaptive.QUERIES, **framing.QUERIES, **baseline.QUERIES}
+    return {**spectral.QUERIES, **ordered.QUERIES, **adaptive.QUERIES, **control.QUERIES, **framing.QUERIES, **baseline.QUERIES}
 
 
 def queries() -> dict:

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.crc import CRC16, crcs
+
 #: Fixed values of the framing: header bytes, longest frame, first invalid rate index.
 HEADER, LONGEST, RATES = 7, 8191, 13
 
@@ -86,7 +89,7 @@ def loas_header(data: Column) -> Column:
 
 
 def _fields(data: bytes, at: int) -> tuple | None:
-    """Fields of a valid header at ``at``; None if it isn't one."""
+    """Fields of a valid header at ``at``, its size and the frame's; None if it isn't one."""
     b = data[at : at + HEADER + 2]
     if len(b) < HEADER or b[0] != 255 or b[1] & 0xF6 != 0xF0:
         return None
@@ -94,7 +97,7 @@ def _fields(data: bytes, at: int) -> tuple | None:
     rate, length = b[2] >> 2 & 15, (b[3] & 3) << 11 | b[4] << 3 | b[5] >> 5
     if len(b) < size or rate >= RATES or length < size:
         return None
-    return b[2] >> 6, rate, (b[2] & 1) << 2 | b[3] >> 6, length, (b[5] & 31) << 6 | b[6] >> 2, size
+    return b[2] >> 6, rate, (b[2] & 1) << 2 | b[3] >> 6, length, (b[5] & 31) << 6 | b[6] >> 2, size, length
 
 
 class Scanner:
@@ -104,6 +107,9 @@ class Scanner:
     later in what it holds: then the header was a false one.
     """
 
+    #: Bytes that decide whether a header is one, at least and at most.
+    shortest, longest = HEADER, HEADER + 2
+
     def __init__(self, held: bytes = b"", offset: int = 0, seq: int = 0, discarded: int = 0):
         self.held, self.offset, self.seq, self.discarded = held, offset, seq, discarded
 
@@ -116,16 +122,16 @@ class Scanner:
             start = self._sync(data, at)
             self.discarded += start - at
             at = start
-            if len(data) - at < HEADER:
+            if len(data) - at < self.shortest:
                 break
-            fields = _fields(data, at)
+            fields = self.fields(data, at)
             if fields is None:
-                if len(data) - at < HEADER + 2 and data[at + 1] & 0xF7 == 0xF0:
+                if len(data) - at < self.longest and data[at + 1] & 0xF7 == 0xF0:
                     break  # a checked header may still be coming
                 self.discarded += 1
                 at += 1
                 continue
-            profile, rate, channels, length, fullness, size = fields
+            *own, size, length = fields
             if len(data) - at < length:
                 later = self._complete(data, at + 1)
                 if later is None:
@@ -133,12 +139,16 @@ class Scanner:
                 self.discarded += later - at
                 at = later
                 continue
-            out.append((self.seq, self.offset + at, profile, rate, channels, length, fullness, data[at + size : at + length]))
+            out.append((self.seq, self.offset + at, *own, data[at + size : at + length]))
             self.seq += 1
             at += length
         self.held, self.offset = data[at:], self.offset + at
         return out
 
+    @staticmethod
+    def fields(data: bytes, at: int) -> tuple | None:
+        return _fields(data, at)
+
     @staticmethod
     def _sync(data: bytes, at: int) -> int:
         """Where the next sync word starts, or the end; a last byte that may start one stays."""
@@ -150,18 +160,156 @@ class Scanner:
                 return at
             at += 1
 
-    @staticmethod
-    def _complete(data: bytes, at: int) -> int | None:
+    def _complete(self, data: bytes, at: int) -> int | None:
         while True:
-            at = Scanner._sync(data, at)
+            at = self._sync(data, at)
             if at >= len(data):
                 return None
-            fields = _fields(data, at)
-            if fields and len(data) - at >= fields[3]:
+            fields = self.fields(data, at)
+            if fields and len(data) - at >= fields[-1]:
+                return at
+            at += 1
+
+
+class LoasScanner(Scanner):
+    """The same for frames behind an 11-bit sync word and a 13-bit length; rows are (seq, offset, length, payload)."""
+
+    shortest = longest = 3
+
+    @staticmethod
+    def fields(data: bytes, at: int) -> tuple | None:
+        if len(data) - at < 3 or data[at] != 0x56 or data[at + 1] >> 5 != 7:
+            return None
+        length = (data[at + 1] & 31) << 8 | data[at + 2]
+        return length, 3, length + 3
+
+    @staticmethod
+    def _sync(data: bytes, at: int) -> int:
+        while True:
+            at = data.find(b"\x56", at)
+            if at < 0:
+                return len(data)
+            if at + 1 == len(data) or data[at + 1] >> 5 == 7:
                 return at
             at += 1
 
 
+LOAS_FIELDS = [T.StructField("seq", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("payload", T.BinaryType())]
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def scan_pieces(pieces: DataFrame, key: str, order: str, data: str, loas: bool = False) -> DataFrame:
+    """One row for each complete frame of each stream, whose ``pieces`` of any size come in ``order``.
+
+    Spark deals streams out by key and sorts, with spilling; a task holds one scanner with an unfinished frame.
+    """
+    fields = LOAS_FIELDS if loas else FRAME_FIELDS
+    schema = T.StructType([pieces.schema[key], *fields])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, last = None, object()
+        for batch in batches:
+            keys, found = [], []
+            for k, piece in zip(batch.column(key).to_pylist(), batch.column(data), strict=True):
+                if k != last:
+                    scanner, last = (LoasScanner if loas else Scanner)(), k
+                rows = scanner.push(piece.as_py() or b"")
+                keys += [k] * len(rows)
+                found += rows
+            if found:
+                arrays = [pa.array(c, _ARROW[f.dataType.simpleString()]) for c, f in zip(zip(*found, strict=True), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(key).type), *arrays], names=[key, *[f.name for f in fields]])
+
+    return pieces.select(key, order, data).repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(scan, schema)
+
+
+def bit_field(data: Column, first: int, n: int) -> Column:
+    """``n`` bits, up to 48, from bit ``first`` on, most significant first; null beyond the end."""
+    start, stop = first // 8, -(-(first + n) // 8)
+    raw = F.conv(F.hex(F.substring(data, start + 1, stop - start)), 16, 10).cast("long")
+    return F.when(F.length(data) >= stop, F.shiftright(raw, 8 * stop - first - n).bitwiseAND(F.lit((1 << n) - 1)))
+
+
+def zero_from(data: Column, first: int) -> Column:
+    """Whether all bits from bit ``first`` on are zero; true where there are none."""
+    start, head = -(-first // 8), first % 8
+    rest = F.hex(F.substring(data, start + 1, 1 << 30)).rlike("^0*$")
+    if not head:
+        return rest
+    return rest & F.coalesce(F.conv(F.hex(F.substring(data, start, 1)), 16, 10).cast("int").bitwiseAND(F.lit((1 << 8 - head) - 1)) == 0, F.lit(True))
+
+
+def _positions(sizes: list[int]) -> bytes:
+    at, out = 0, b""
+    for n in sizes[:-1]:
+        at += n + 2
+        out += at.to_bytes(2, "big")
+    return out
+
+
+def block_frames(payloads: Column, profile: int, rate_index: Column, channels: Column) -> Column:
+    """One checked frame of one to four payloads, each followed by its checksum and found by a table of 16-bit ends.
+
+    A single payload follows the header's checksum as it is. Null if the frame doesn't fit its length field.
+    """
+
+    @F.pandas_udf("binary")
+    def packed(rows: pd.Series, rates: pd.Series, layouts: pd.Series) -> pd.Series:
+        out, heads = [], []
+        for blocks, rate, layout in zip(rows, rates, layouts, strict=True):
+            sizes = [len(b) for b in blocks]
+            table = _positions(sizes)
+            size = HEADER + len(table) + 2 + sum(sizes) + (2 * len(sizes) if len(sizes) > 1 else 0)
+            head = (0xFFF0 << 40) + (profile << 38) + (int(rate) << 34) + (int(layout) << 30) + (size << 13) + (0x7FF << 2) + len(sizes) - 1
+            heads.append(head.to_bytes(HEADER, "big") + table if size <= LONGEST else None)
+        checks = crcs([h or b"" for h in heads], *CRC16)
+        parts = [bytes(b) for blocks in rows for b in blocks]
+        ends = iter(crcs(parts, *CRC16).tolist())
+        for blocks, head, check in zip(rows, heads, checks.tolist(), strict=True):
+            own = [(bytes(b), next(ends).to_bytes(2, "big")) for b in blocks]
+            body = own[0][0] if len(own) == 1 else b"".join(b + c for b, c in own)
+            out.append(None if head is None else head + check.to_bytes(2, "big") + body)
+        return pd.Series(out)
+
+    return packed(payloads, rate_index, channels)
+
+
+def raw_blocks(frames: Column) -> Column:
+    """(block, payload, crc_ok) of each block of checked frames, or one row with ``err``: ``unprotected``, ``short`` or ``position``.
+
+    A frame of one block passes as it is, its crc_ok is null; several blocks can be told apart only in a checked frame.
+    """
+
+    @F.pandas_udf("array<struct<block: int, payload: binary, crc_ok: boolean, err: string>>")
+    def split(rows: pd.Series) -> pd.Series:
+        out, checks = [], []
+        for frame in rows:
+            frame = bytes(frame)
+            count, checked = (frame[6] & 3) + 1, not frame[1] & 1
+            bad = lambda err: [{"block": None, "payload": None, "crc_ok": None, "err": err}]
+            start = HEADER + 2 * (count - 1) + 2
+            if count == 1:
+                out.append([{"block": 0, "payload": frame[HEADER + 2 * checked :], "crc_ok": None, "err": None}])
+            elif not checked:
+                out.append(bad("unprotected"))
+            elif len(frame) < start:
+                out.append(bad("short"))
+            else:
+                ends = [int.from_bytes(frame[HEADER + 2 * k : HEADER + 2 * k + 2], "big") for k in range(count - 1)] + [len(frame) - start]
+                borders = list(zip([0, *ends], ends))
+                if any(b < a + 2 or b > len(frame) - start for a, b in borders):
+                    out.append(bad("position"))
+                    continue
+                made = [{"block": k, "payload": frame[start + a : start + b - 2], "crc_ok": None, "err": None} for k, (a, b) in enumerate(borders)]
+                checks += [(m, int.from_bytes(frame[start + b - 2 : start + b], "big")) for m, (_, b) in zip(made, borders, strict=True)]
+                out.append(made)
+        for (made, want), got in zip(checks, crcs([m["payload"] for m, _ in checks], *CRC16).tolist(), strict=True):
+            made["crc_ok"] = got == want
+        return pd.Series(out)
+
+    return split(frames)
+
+
 def _scanned(batches: Iterator[pa.RecordBatch], key: str, data: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, blob in zip(batch.column(key), batch.column(data), strict=True):
