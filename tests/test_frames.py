@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidalframe.functions import crc
 from tidalframe.sources import frames as S
 from tidalframe.streaming import stateful
 
@@ -33,17 +36,27 @@ def test_header_errors(spark, data, err):
     assert spark.createDataFrame([(bytearray(data),)], "d binary").select(S.header(F.col("d")).alias("h")).first().h.err == err
 
 
-@pytest.mark.parametrize("sizes", [[1], [1, 2, 7, 31, 3, 127, 11, 251], [100000]])
-def test_any_chunking_gives_the_same_frames(sizes):
-    rng = random.Random(1)
-    payloads = [bytes(rng.randrange(255) for _ in range(rng.randrange(60))) for _ in range(30)]
-    data = b"\x00\xff" + b"".join(frame(p) + (b"junk\xff" if i % 4 == 0 else b"") for i, p in enumerate(payloads))
-    scanner, got, at, k = S.Scanner(), [], 0, 0
+def pushed(scanner, data, rng, most):
+    """All that the scanner finds in ``data``, given in random pieces of up to ``most`` bytes."""
+    got, at = [], 0
     while at < len(data):
-        n = sizes[k % len(sizes)]
+        n = rng.randint(1, most)
         got += scanner.push(data[at : at + n])
-        at, k = at + n, k + 1
-    assert [f[-1] for f in got] == payloads and [f[0] for f in got] == list(range(30))
+        at += n
+    return got
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=60).map(lambda p: p.replace(b"\xff", b"\xfe")), min_size=1, max_size=20), st.integers(1, 300), st.integers(0, 2**32))
+def test_any_chunking_gives_the_same_frames(payloads, most, seed):
+    rng = random.Random(seed)
+    data = b"".join(rng.choice([b"", b"noise", b"\x00\xff"]) + frame(p) for p in payloads)
+    got = pushed(S.Scanner(), data, rng, most)
+    assert [f[-1] for f in got] == payloads and [f[0] for f in got] == list(range(len(payloads)))
+    loas = lambda p: ((0x2B7 << 13) + len(p)).to_bytes(3, "big") + p
+    plain = [p.replace(b"\x56", b"\x55") for p in payloads]
+    got = pushed(S.LoasScanner(), b"".join(rng.choice([b"", b"noise", b"\x00\x57"]) + loas(p) for p in plain), rng, most)
+    assert [f[-1] for f in got] == plain
 
 
 def test_a_false_header_gives_way_to_a_whole_frame():
@@ -52,19 +65,51 @@ def test_a_false_header_gives_way_to_a_whole_frame():
     assert [f[-1] for f in scanner.push(false + frame(b"real"))] == [b"real"] and scanner.discarded == 7
 
 
-def test_random_bytes_do_no_harm():
-    x = 1
-    for case in range(128):
-        data = bytearray()
-        for _ in range(case * 43 % 257):
-            x = (x * 22695477 + 1) % 2**32
-            data.append(x >> 24)
-        scanner = S.Scanner()
-        for at in range(0, len(data), 7):
-            scanner.push(bytes(data[at : at + 7]))
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"\xff", b"\xf1", b"\xf0", b"\x56", b"\xe0"]) | st.binary(min_size=1, max_size=9), max_size=60), st.integers(1, 40), st.integers(0, 99))
+def test_random_bytes_do_no_harm(parts, most, seed):
+    data = b"".join(parts)
+    for scanner in (S.Scanner(), S.LoasScanner()):
+        pushed(scanner, data, random.Random(seed), most)
         assert scanner.offset + len(scanner.held) == len(data)
 
 
+def blocks_of(spark, payloads):
+    df = spark.createDataFrame([([bytearray(p) for p in payloads],)], "x array<binary>")
+    made = df.select(S.block_frames(F.col("x"), 1, F.lit(4), F.lit(2)).alias("f")).first().f
+    return None if made is None else bytes(made)
+
+
+def read_blocks(spark, data):
+    return spark.createDataFrame([(bytearray(data),)], "f binary").select(F.inline(S.raw_blocks(F.col("f")))).collect()
+
+
+def test_blocks_go_there_and_back(spark):
+    for payloads in ([b"only"], [b"a", b""], [b"one", b"two" * 50, b"", b"four"]):
+        data = blocks_of(spark, payloads)
+        got = read_blocks(spark, data)
+        assert [bytes(r.payload) for r in got] == payloads and all(r.err is None for r in got)
+        assert [r.crc_ok for r in got] == ([None] if len(payloads) == 1 else [True] * len(payloads))
+        head = spark.createDataFrame([(bytearray(data),)], "f binary").select(S.header(F.col("f")).alias("h")).first().h
+        assert (head.blocks, head.frame_length, head.checked, head.err) == (len(payloads), len(data), True, None)
+        start = 7 + 2 * (len(payloads) - 1)
+        assert int.from_bytes(data[start : start + 2], "big") == crc.crc_bits(data[:start], 0, 8 * start, *crc.CRC16)
+    assert blocks_of(spark, [b"x" * 4000, b"y" * 4500]) is None
+
+
+def test_broken_block_frames_say_why(spark):
+    data = bytearray(blocks_of(spark, [b"one", b"two"]))
+    assert [r.err for r in read_blocks(spark, data[:9])] == ["short"]
+    bad = bytearray(data)
+    bad[7:9] = b"\x00\x01"
+    assert [r.err for r in read_blocks(spark, bad)] == ["position"]
+    bad = bytearray(data)
+    bad[1] |= 1
+    assert [r.err for r in read_blocks(spark, bad)] == ["unprotected"]
+    data[12] ^= 1
+    assert [r.crc_ok for r in read_blocks(spark, data)] == [False, True]
+
+
 def test_files_are_read_by_spark(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"xx" + frame(b"one") + frame(b"two"))
     (tmp_path / "b.bin").write_bytes(b"")

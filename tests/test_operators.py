@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidalframe.functions import crc, numeric
-from tidalframe.operators import bands, gain, order, quant, stereo, transform
+from tidalframe.operators import adaptive, bands, control, gain, order, quant, stereo, transform
 
 
 def signal(spark, values, stream=1):
@@ -19,16 +19,73 @@ def column(df, name):
     return [r[name] for r in df.orderBy("t").collect()]
 
 
-def test_limiter_delays_an_impulse(spark):
-    x = [0.0] * 32
-    x[0] = 0.5
-    out = order.limited(signal(spark, x), 15, 50)
-    assert column(out, "limited").index(0.5) == 15
-
-
-def test_limiter_keeps_to_one(spark):
-    out = column(order.limited(signal(spark, [2.0, 0.5] + [0.0] * 30), 5, 20), "limited")
-    assert max(map(abs, out)) <= 1.0 and max(out) > 0.4
+@pytest.mark.parametrize("attack,release,seed", [(3, 11, 1), (8, 40, 2), (1, 1, 3)])
+def test_limiter_looks_ahead_and_keeps_to_one(spark, attack, release, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal(400) * np.repeat(rng.choice([0.2, 0.9, 2.5], 40), 10)
+    df = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate(x)] + [(2, t, float(v) * 0.1) for t, v in enumerate(x)], "stream long, t long, v double")
+    rows = order.limited(df, attack, release).orderBy("stream", "t").collect()
+    gain, out = (np.array([r[c] for r in rows if r.stream == 1]) for c in ("gain", "limited"))
+    late = np.concatenate([np.zeros(attack), x])[: len(x)]
+    assert np.allclose(out, late * gain) and np.abs(out).max() <= 1 + 1e-9  # the gain alone keeps to one: nothing is clipped
+    peaks = np.array([max(1.0, np.abs(x[max(0, t - attack) : t + 1]).max()) for t in range(len(x))])
+    assert (gain <= np.maximum(1 / peaks, np.append(1.0, gain[:-1])) + 1e-9).all() and gain.min() < 0.6 < 0.9 < gain[-1] + 0.5
+    calm = np.abs(x).max() * 0.1 <= 1
+    assert not calm or all(r.gain == 1.0 for r in rows if r.stream == 2)
+    for at in np.flatnonzero(np.diff(peaks) > 0.5) + 1:  # by the time a new peak comes out, nine tenths of the way are done
+        if at + attack < len(gain):
+            assert gain[at + attack] <= 1 / peaks[at] + 0.11 * (1 - 1 / peaks[at])
+
+
+def test_limiter_holds_an_impulse_back(spark):
+    x = np.zeros(50)
+    x[7] = -0.625
+    out = column(order.limited(signal(spark, x.tolist()), 12, 33), "limited")
+    assert out[19] == -0.625 and sum(map(abs, out)) == 0.625
+
+
+def test_crcs_of_many_values_equal_bit_by_bit_ones():
+    rng = random.Random(8)
+    values = [rng.randbytes(rng.choice([0, 1, 5, 300])) for _ in range(400)] + [rng.randbytes(3000)]
+    for kind in (crc.CRC16, crc.CRC8):
+        got = crc.crcs(values, *kind)
+        assert all(int(g) == crc.crc_bits(v, 0, 8 * len(v), *kind) for g, v in list(zip(got, values))[::7] + [(got[-1], values[-1])])
+        assert [int(g) for g in crc.crcs(values[:5], *kind)] == [int(g) for g in got[:5]] and len(crc.crcs([], *kind)) == 0
+
+
+def test_tracked_range_by_hand(spark):
+    """Above the range, below it, inside, and far above; a first row of 100 gives 100 -+ 100/12."""
+    for v in (150.0, 50.0, 97.0, 600.0):
+        got = adaptive.tracked_range(signal(spark, [100.0, v])).orderBy("t").collect()
+        low, high = 100 - 100 / 12, 100 + 100 / 12
+        if v > high:
+            low, high = low + 0.3 * (v - high), v
+        elif v < low:
+            low, high = low - 0.14 * (low - v), high - 0.07 * (low - v)
+        else:
+            low, high = low + 0.3 * (v - low), high - 0.07 * (high - v)
+        if high - low < v / 6:
+            below, above = max(v - low, 0), max(high - v, 0)
+            low, high = max(v - below / (below + above) * v / 6, 0), v + above / (below + above) * v / 6
+        assert (got[0].low, got[0].high) == pytest.approx((100 - 100 / 12, 100 + 100 / 12)) and (got[1].low, got[1].high) == pytest.approx((low, high))
+
+
+def test_sections_equal_all_covers(spark):
+    rng = random.Random(9)
+    rows = []
+    for key in range(30):
+        rows.append((key, [[None if rng.random() < 0.2 else float(rng.randint(0, 9)), float(rng.randint(0, 9)), float(rng.randint(0, 6))] for _ in range(rng.randint(1, 6))]))
+    got = {}
+    for r in control.chosen_sections(spark.createDataFrame(rows, "key long, x array<array<double>>"), "key", 3).collect():
+        got.setdefault(r.key, []).append(r)
+    for key, x in rows:
+        parts = sorted(got[key])
+        assert [p.start for p in parts] == [0, *[p.stop for p in parts[:-1]]] and parts[-1].stop == len(x)
+        best = float("inf")
+        for cuts in range(1 << (len(x) - 1)):
+            borders = [0, *[i + 1 for i in range(len(x) - 1) if cuts >> i & 1], len(x)]
+            best = min(best, sum(9 + min(sum(1e9 if row[c] is None else row[c] for row in x[a:b]) for c in range(3)) for a, b in zip(borders, borders[1:])))
+        assert sum(p.bits for p in parts) == best
 
 
 def test_ordered_scan_keeps_streams_apart(spark):

@@ -10,7 +10,6 @@ from tidalframe.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
-SLOW = {"crc16"}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the supplied tables are not here")
 
@@ -29,7 +28,7 @@ def norm(v):
     return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_its_oracle(spark, duck, name):
     got = registry.queries()[name](spark, str(DATA))
     want = duck.execute(registry.oracle_sql()[name])

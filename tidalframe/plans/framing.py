@@ -130,7 +130,7 @@ f AS (SELECT *, length(h) // 2 AS n, length(h) // 2 + 7 AS len FROM p)
 
 QUERIES = {
     "crc16": (crc16, _crc_sql(*C.CRC16)),
-    "crc8": (crc8, None),  # the same fold with other parameters; tested against a bit-by-bit one
+    "crc8": (crc8, _crc_sql(*C.CRC8)),
     "frame_pack": (
         frame_pack,
         _PIECES
