@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -409,6 +411,18 @@ def test_benchmarks_in_blocks_of_bounded_size_and_long_items(spark):
     assert sum(r.n_hit > 0 for r in whole) > 30
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the supplied tables are not here")
+def test_decontamination_equals_its_sql(spark):
+    duck, data = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"{data}/{t}.parquet").coalesce(1).createOrReplaceTempView(f"sql_{t}")
+        duck.register(t, spark.table(f"sql_{t}").toArrow())
+    want = duck.execute(decontaminate.OP10_SQL)
+    columns = [c[0] for c in want.description]
+    got = decontaminate.op10_decontaminate(spark, data).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and any(r.n_hit for r in got)
+
+
 def test_word_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"foo bar foo", np.uint8)
     starts, ends = bytetext.runs(bytetext.ALNUM[data], np.array([0, 11]))

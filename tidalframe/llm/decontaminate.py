@@ -277,3 +277,17 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The same by plain joins of all windows.
+OP10_SQL = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_WORDS.format(t="text")}, []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, coalesce({_WORDS.format(t="text")}, []) AS w FROM benchmark),
+k AS (SELECT DISTINCT item, n, array_to_string(w[i + 1:i + n], ' ') AS k FROM (SELECT item, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM (SELECT *, least(8, len(w)) AS n FROM b WHERE len(w) > 0))),
+o AS (SELECT r, i, n, array_to_string(w[i + 1:i + n], ' ') AS k FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM k) WHERE len(w) >= n)),
+h AS (SELECT o.r, o.i, o.n, k.item FROM o JOIN k ON k.n = o.n AND k.k = o.k),
+p AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)"""
