@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 FLOOR = 1e-30
 #: Shares of a band's energy that spread to the next and the previous band.
 SPREAD_UP, SPREAD_DOWN = 0.15, 0.05
+#: Fixed values of the masking: the share of the spread energy that hides, what tonality takes off it, the least threshold of a line, its rise by band.
+HIDING, TONAL, LEAST, RISE = 0.16, 0.13, 1e-9, 0.08
 
 
 def band_measures(banded: DataFrame) -> DataFrame:
@@ -30,8 +32,8 @@ def masking(measures: DataFrame) -> DataFrame:
     """``measures`` with threshold: what the neighbours' spread energy hides, at most the band's own."""
     order = Window.partitionBy("frame", "ch").orderBy("band")
     spread = F.col("energy") + F.coalesce(F.lag("energy").over(order), F.lit(0.0)) * SPREAD_UP + F.coalesce(F.lead("energy").over(order), F.lit(0.0)) * SPREAD_DOWN
-    least = F.col("width") * 1e-9 * F.pow(1 + F.col("band") * 0.08, F.lit(2.0))
-    hidden = F.greatest(spread * (0.16 - 0.13 * F.col("tonality")), least)
+    least = F.col("width") * LEAST * F.pow(1 + F.col("band") * RISE, F.lit(2.0))
+    hidden = F.greatest(spread * (HIDING - TONAL * F.col("tonality")), least)
     return measures.withColumn("threshold", F.least(hidden, F.greatest(F.col("energy"), least)))
 
 

@@ -101,13 +101,17 @@ def block_states(ratios: DataFrame, threshold: float) -> DataFrame:
     return out.select("stream", "t", "state")
 
 
+#: The shares of the old and the new energy in the average.
+OLD, NEW = 0.7, 0.3
+
+
 def onsets(signal: DataFrame, factor: float) -> DataFrame:
     """(stream, t, level, onset): energy over ``factor`` times its exponential average, 0.7 old and 0.3 new."""
 
     def step(state: float, row: tuple) -> tuple:
         energy = row[0] * row[0]
         hit = energy > factor * state
-        return 0.7 * state + 0.3 * energy, (state, hit)
+        return OLD * state + NEW * energy, (state, hit)
 
     fields = [T.StructField("level", T.DoubleType()), T.StructField("onset", T.BooleanType())]
     return ordered_scan(signal, "stream", ["t"], ["v"], lambda: 0.0, step, fields).select("stream", "t", "level", "onset")
