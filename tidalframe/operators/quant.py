@@ -20,9 +20,14 @@ _SCALES = np.arange(LEAST_SCALE, MOST_SCALE + 1)
 _STEPS = np.power(2.0, 0.25 * _SCALES)
 
 
+#: What each level stands for before its step: its power 4/3, a table by the rule.
+_SIZES = np.power(np.arange(MOST_LEVEL + 1, dtype=float), 4.0 / 3.0)
+
+
 def _levels(magnitude: np.ndarray, step) -> np.ndarray:
-    """Magnitudes over the step to the power 3/4, rounded half up, at most MOST_LEVEL."""
-    return np.minimum(np.floor(np.power(magnitude / step, 0.75) + 0.5), MOST_LEVEL)
+    """Magnitudes over the step to the power 3/4, by two roots, rounded half up, at most MOST_LEVEL."""
+    ratio = magnitude / step
+    return np.minimum(np.floor(np.sqrt(ratio * np.sqrt(ratio)) + 0.5), MOST_LEVEL)
 
 
 #: Bands that are tried at once: a matrix of bands by scales by lines.
@@ -36,7 +41,7 @@ def _chosen(x: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     for at in range(0, len(x), _TOGETHER):
         m = magnitude[at : at + _TOGETHER, None, :]
         levels = _levels(m, _STEPS[:, None])
-        noise = ((m - np.power(levels, 4.0 / 3.0) * _STEPS[:, None]) ** 2).sum(axis=2)
+        noise = ((m - _SIZES[levels.astype(np.intp)] * _STEPS[:, None]) ** 2).sum(axis=2)
         fits = noise <= np.maximum(allowed[at : at + _TOGETHER, None] / MARGIN, 1e-20)
         first = fits.argmax(axis=1)
         ends = ~fits & (np.arange(len(_SCALES)) > first[:, None])
