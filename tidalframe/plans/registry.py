@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import adaptive, baseline, coding, control, framing, ordered, spectral
+from . import adaptive, baseline, coding, control, framing, levels, ordered, records, spectral
 
 
 def _all() -> dict:
-    return {**spectral.QUERIES, **ordered.QUERIES, **adaptive.QUERIES, **control.QUERIES, **coding.QUERIES, **framing.QUERIES, **baseline.QUERIES}
+    return {**spectral.QUERIES, **ordered.QUERIES, **adaptive.QUERIES, **control.QUERIES, **coding.QUERIES, **levels.QUERIES, **records.QUERIES, **framing.QUERIES, **baseline.QUERIES}
 
 
 def queries() -> dict:
