@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -325,3 +326,32 @@ def test_one_of_each_goes_by_text_not_by_id(spark):
     assert kept.columns == ["doc_id", "text"]
     want = [(None, "a"), (None, "b"), (1, "c"), (1, "d"), (3, "e"), (3, "f")]
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(i, words[c]) for i, c in want] + [(4, None)], kept.schema).collect()))
+
+
+def _duck(sql, **tables):
+    con = duckdb.connect()
+    for name, (columns, rows) in tables.items():
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    return {tuple(r) for r in con.execute(sql).fetchall()}
+
+
+def test_simhash_equals_its_sql(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(n)) for n in (1, 2, 3, 5, 8, 13, 34, 70)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 2, 3, 4, 5, 9, 40, 300)]
+    texts += [texts[7] + " end", texts[7].upper(), texts[6], texts[6] + "\n", "", None, " \t\r", "UND", "und", "x\x0by"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in simhash.near_duplicates(df).collect()}
+    assert got == _duck(simhash.OP3_SQL, documents=("doc_id BIGINT, text VARCHAR", rows))
+
+
+def test_embeddings_equal_their_sql(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((6, 8))
+    rows = [(i, (centres[i % 6] + rng.standard_normal(8) * (0.1 + 0.1 * (i % 5))).tolist()) for i in range(90)]
+    rows += [(90, None), (91, [0.0] * 8), (92, [float("nan")] + [1.0] * 7), (93, [float("inf")] * 8), (94, [None] + [1.0] * 7), (95, rows[3][1]), (96, rows[3][1]), (97, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in embeddings.near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()}
+    assert got == _duck(embeddings.OP4_SQL, embeddings=("vec_id BIGINT, embedding DOUBLE[]", rows))

@@ -217,3 +217,13 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 def op4_embeddings(spark, sf_dir: str) -> DataFrame:
     """Near-duplicates among all embeddings, whatever their labels."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: The same result by all pairs: for tables of some thousand vectors, of distinct ids.
+OP4_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, list_transform(x, lambda z: coalesce(z, 0)) AS x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda z: z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter(x, lambda z: z <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) >= {COSINE} ELSE false END),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.OP2_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op2_mix": mixing.OP2_SQL, "op3_simhash": simhash.OP3_SQL, "op4_embeddings": embeddings.OP4_SQL, "op10_decontaminate": decontaminate.OP10_SQL}

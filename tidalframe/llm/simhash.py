@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .common import documents, dropped, written
 from .components import components
+from .hash_sql import xxh64_ctes
 
 SHINGLE = 4
 SEED = 42
@@ -187,3 +188,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+_SET = " + ".join(f"CAST(count(*) FILTER (WHERE hash >> {b} & 1 = 1) * 2 > count(*) AS UBIGINT) * {1 << b}::UBIGINT" for b in range(64))
+#: The same result by all pairs of distinct fingerprints: for tables of some thousand documents.
+OP3_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i + 1:i + {SHINGLE}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)),
+q AS (SELECT DISTINCT k FROM s),
+{xxh64_ctes("q", "k", SEED)},
+f AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM documents LEFT JOIN (SELECT doc_id, {_SET} AS fp FROM s JOIN xxh64 USING (k) GROUP BY doc_id) USING (doc_id)),
+p AS (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
+l AS (SELECT a.fp AS a, b.fp AS b FROM p a JOIN p b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {DISTANCE}),
+r(a, b) AS (SELECT fp, fp FROM p UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT r.a AS fp, min(least) AS component_id FROM r JOIN p ON p.fp = r.b GROUP BY r.a)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN c USING (fp)"""
