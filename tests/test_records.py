@@ -24,8 +24,8 @@ def test_bits_and_bytes_round_trip(spark):
 @pytest.mark.parametrize("widths", [R.CONFIG_WIDTHS, R.COUNT_WIDTHS, R.UNIT_WIDTHS])
 def test_escaped_numbers_round_trip(spark, widths):
     most = sum((1 << w) - 1 for w in widths if w)
-    df = spark.range(min(most, 600) + 1).withColumn("bits", F.concat(F.lit("10"), R.escape_bits(F.col("id"), widths)))
-    rows = df.select("id", F.length("bits").alias("n"), R.escape_number(F.col("bits"), F.lit(2), widths).alias("v"), R.escape_number(F.expr("substring(bits, 1, length(bits) - 1)"), F.lit(2), widths).alias("cut")).collect()
+    df = spark.range(min(most, 600) + 1).withColumn("bits", F.concat(F.lit("10"), R.escape_bits(F.col("id"), widths))).withColumn("data", R.packed(F.col("bits")))
+    rows = df.select("id", F.length("bits").alias("n"), R.escape_number(F.col("data"), F.lit(2), widths).alias("v"), R.escape_number(F.expr("substring(data, 1, length(data) - 1)"), F.lit(2), widths).alias("cut")).collect()
     assert all(r.v.value == r.id and r.v.stop == r.n and r.cut is None for r in rows)
 
 

@@ -1,6 +1,6 @@
 """Bit records as column expressions: writers, and readers whose later fields lie where earlier ones say.
 
-A binary value is read as a string of 0 and 1, so positions may be columns. Nothing leaves the JVM.
+Bits are read from the bytes around them, so positions may be columns. Nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -56,10 +56,19 @@ def field(value: Column, n: int) -> Column:
     return F.lpad(F.bin(value.cast("long")), n, "0")
 
 
-def number(bits: Column, first: Column | int, n: Column | int) -> Column:
-    """The number in ``n`` bits, 1 to 63, from place ``first`` on; null beyond the end."""
+def number(data: Column, first: Column | int, n: Column | int) -> Column:
+    """The number in ``n`` bits, 1 to 48, of a binary value from bit ``first`` on; null beyond the end."""
     first, n = (F.lit(v) if isinstance(v, int) else v for v in (first, n))
-    return F.when(F.length(bits) >= first + n, F.conv(F.substring(bits, first + 1, n), 2, 10).cast("long"))
+    seven = F.substring(data, F.floor(first / 8).cast("int") + 1, F.lit(7))
+    raw = F.conv(F.rpad(F.hex(seven), 14, F.lit("0")), 16, 10).cast("long")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+    return F.when(8 * F.length(data) >= first + n, F.call_function("shiftright", raw, (56 - first % 8 - n).cast("int")).bitwiseAND(mask))
+
+
+def byte_run(data: Column, first: Column, n: Column) -> Column:
+    """``n`` bytes from bit ``first`` on."""
+    own = bits_of(F.substring(data, F.floor(first / 8).cast("int") + 1, (n + 1).cast("int")))
+    return packed(F.substring(own, (first % 8 + 1).cast("int"), (8 * n).cast("int")))
 
 
 def _picked(values: tuple, index: Column) -> Column:
@@ -76,27 +85,27 @@ def escape_bits(value: Column, widths: tuple[int, int, int]) -> Column:
     return F.when(value < a, field(value, first)).otherwise(F.concat(field(F.lit(a), first), tail))
 
 
-def escape_number(bits: Column, at: Column, widths: tuple[int, int, int]) -> Column:
+def escape_number(data: Column, at: Column, widths: tuple[int, int, int]) -> Column:
     """(value, stop) of what ``escape_bits`` wrote at place ``at``; null beyond the end."""
     first, second, third = widths
     a, b = (1 << first) - 1, (1 << second) - 1
-    one, two = number(bits, at, first), number(bits, at + first, second)
+    one, two = number(data, at, first), number(data, at + first, second)
     made = lambda value, n: F.when(value.isNotNull(), F.struct(value.alias("value"), (at + n).cast("int").alias("stop")))
     out = F.when(one < a, made(one, first))
     if third:
-        out = out.when((one == a) & (two == b), made(one + two + number(bits, at + first + second, third), first + second + third))
+        out = out.when((one == a) & (two == b), made(one + two + number(data, at + first + second, third), first + second + third))
     return out.when(one == a, made(one + two, first + second))
 
 
 def descriptor(data: Column) -> Column:
     """The fields of a 16-bit descriptor of a broadcast stream, and err: null, ``short``, ``rate``, ``mode``, ``stereo`` or ``surround``."""
 
-    def read(bits: Column) -> Column:
-        coding, sbr, mode, rate, coder = number(bits, 0, 2), number(bits, 2, 1) == 1, number(bits, 3, 2), number(bits, 5, 3), number(bits, 10, 5)
+    def read(data: Column) -> Column:
+        coding, sbr, mode, rate, coder = number(data, 0, 2), number(data, 2, 1) == 1, number(data, 3, 2), number(data, 5, 3), number(data, 10, 5)
         plain, extended = coding == 0, coding == 3
         hertz = F.when(extended, _picked(EXTENDED_RATES, rate)).otherwise(_picked(PLAIN_RATES, rate))
         surround = F.shiftright(coder, 2)
-        rows = F.when(F.length(bits) < 16, "short").when(hertz.isNull(), "rate").when((plain & (mode == 3)) | (extended & mode.isin(1, 3)), "mode")
+        rows = F.when(8 * F.length(data) < 16, "short").when(hertz.isNull(), "rate").when((plain & (mode == 3)) | (extended & mode.isin(1, 3)), "mode")
         rows = rows.when(plain & (mode == 1) & ~sbr, "stereo").when((plain | extended) & ~surround.isin(0, 2, 3, 7), "surround")
         return F.struct(
             rows.alias("err"),
@@ -106,14 +115,14 @@ def descriptor(data: Column) -> Column:
             hertz.alias("rate"),
             F.when((plain | extended) & (mode == 2), 2).otherwise(1).alias("channels"),
             (plain & (mode == 1)).alias("parametric"),
-            (number(bits, 8, 1) == 1).alias("text"),
-            (number(bits, 9, 1) == 1).alias("enhanced"),
+            (number(data, 8, 1) == 1).alias("text"),
+            (number(data, 9, 1) == 1).alias("enhanced"),
             coder.cast("int").alias("coder"),
-            (number(bits, 15, 1) == 1).alias("reserved"),
+            (number(data, 15, 1) == 1).alias("reserved"),
             (plain & (surround != 0) & (mode != 1)).alias("surround"),
         )
 
-    return with_value(bits_of(data), read)
+    return with_value(data, read)
 
 
 def descriptor_bytes(sbr: Column, mode: Column, rate: Column, text: Column, enhanced: Column, coder: Column, reserved: Column) -> Column:
@@ -126,19 +135,19 @@ def descriptor_bytes(sbr: Column, mode: Column, rate: Column, text: Column, enha
 def window_info(data: Column, most_long: int, most_short: int) -> Column:
     """Window sequence, shape, bands and grouping at the start of ``data``; err is null, ``short``, ``bands`` or ``prediction``."""
 
-    def read(bits: Column) -> Column:
-        sequence = number(bits, 1, 2)
+    def read(data: Column) -> Column:
+        sequence = number(data, 1, 2)
         long = sequence != 2
-        top = F.when(long, number(bits, 4, 6)).otherwise(number(bits, 4, 4))
-        grouping = F.when(long, F.lit(0)).otherwise(number(bits, 8, 7))
-        predicted = F.when(long, number(bits, 10, 1))
+        top = F.when(long, number(data, 4, 6)).otherwise(number(data, 4, 4))
+        grouping = F.when(long, F.lit(0)).otherwise(number(data, 8, 7))
+        predicted = F.when(long, number(data, 10, 1))
         size = F.when(long, 11).otherwise(15)
-        err = F.when(F.length(bits) < size, "short").when(top > F.when(long, most_long).otherwise(most_short), "bands").when(predicted == 1, "prediction")
+        err = F.when(8 * F.length(data) < size, "short").when(top > F.when(long, most_long).otherwise(most_short), "bands").when(predicted == 1, "prediction")
         # A clear bit begins a group: as many groups as clear bits among the seven, and the first one.
         groups = F.when(long, 1).otherwise(8 - F.bit_count(grouping))
-        return F.struct(err.alias("err"), sequence.cast("int").alias("sequence"), number(bits, 3, 1).cast("int").alias("shape"), top.cast("int").alias("bands"), grouping.cast("int").alias("grouping"), groups.cast("int").alias("groups"), size.alias("bits"))
+        return F.struct(err.alias("err"), sequence.cast("int").alias("sequence"), number(data, 3, 1).cast("int").alias("shape"), top.cast("int").alias("bands"), grouping.cast("int").alias("grouping"), groups.cast("int").alias("groups"), size.alias("bits"))
 
-    return with_value(bits_of(data), read)
+    return with_value(data, read)
 
 
 def pulse_fields(data: Column, short: Column, bands: Column, borders: tuple[int, ...], lines: int) -> Column:
@@ -147,29 +156,29 @@ def pulse_fields(data: Column, short: Column, bands: Column, borders: tuple[int,
     err is null, ``absent``, ``window`` (pulses over short windows), ``band``, ``line`` or ``short``.
     """
 
-    def read(bits: Column) -> Column:
-        count, start = number(bits, 1, 2), number(bits, 3, 6)
+    def read(data: Column) -> Column:
+        count, start = number(data, 1, 2), number(data, 3, 6)
         all_ = F.sequence(F.lit(0), count.cast("int"))
-        steps = F.transform(all_, lambda i: number(bits, 9 + 9 * i, 5))
+        steps = F.transform(all_, lambda i: number(data, 9 + 9 * i, 5))
         places = F.transform(all_, lambda i: F.aggregate(F.slice(steps, 1, i + 1), _picked(borders, start).cast("long"), lambda a, s: a + s))
-        sizes = F.transform(all_, lambda i: number(bits, 14 + 9 * i, 4))
-        err = F.when(number(bits, 0, 1) == 0, "absent").when(short, "window").when(F.length(bits) < 9, "short").when((start >= bands) | (start >= len(borders)), "band")
-        err = err.when(F.length(bits) < 18 + 9 * count, "short").when(F.element_at(places, -1) >= lines, "line")
+        sizes = F.transform(all_, lambda i: number(data, 14 + 9 * i, 4))
+        err = F.when(number(data, 0, 1) == 0, "absent").when(short, "window").when(8 * F.length(data) < 9, "short").when((start >= bands) | (start >= len(borders)), "band")
+        err = err.when(8 * F.length(data) < 18 + 9 * count, "short").when(F.element_at(places, -1) >= lines, "line")
         some = lambda v: F.when(err.isNull(), v)
         return F.struct(err.alias("err"), some(start.cast("int")).alias("start"), some(places).alias("places"), some(sizes).alias("amplitudes"))
 
-    return with_value(bits_of(data), read)
+    return with_value(data, read)
 
 
 def reorder_lengths(data: Column, pair: Column) -> Column:
     """(err, length, longest): bits of a reordered section and of its longest word; err is null, ``short``, ``length``, ``longest`` or ``order``."""
 
-    def read(bits: Column) -> Column:
-        length, longest = number(bits, 0, 14), number(bits, 14, 6)
+    def read(data: Column) -> Column:
+        length, longest = number(data, 0, 14), number(data, 14, 6)
         err = F.when(longest.isNull(), "short").when(length > F.when(pair, REORDERED_TWO).otherwise(REORDERED_ONE), "length").when(longest > LONGEST_WORD, "longest").when(length < longest, "order")
         return F.struct(err.alias("err"), length.cast("int").alias("length"), longest.cast("int").alias("longest"))
 
-    return with_value(bits_of(data), read)
+    return with_value(data, read)
 
 
 def downmix_fields(data: Column) -> Column:
@@ -178,8 +187,8 @@ def downmix_fields(data: Column) -> Column:
     Fixed values: a mark, two set bits and a clear one in the info byte, a status byte whose flags name the parts that follow.
     """
 
-    def read(bits: Column) -> Column:
-        byte = lambda i: number(bits, 8 * i, 8)
+    def read(data: Column) -> Column:
+        byte = lambda i: number(data, 8 * i, 8)
         bit = lambda v, k: F.shiftright(v, k).bitwiseAND(F.lit(1))
         info, status = byte(F.lit(1)), byte(F.lit(2))
         good = (byte(F.lit(0)) == 0xBC) & (F.shiftright(info, 6) == 3) & (bit(info, 0) == 0) & (status < 32)
@@ -205,7 +214,7 @@ def downmix_fields(data: Column) -> Column:
         )
         return F.when(good & ~ended, made)
 
-    return with_value(bits_of(data), read)
+    return with_value(data, read)
 
 
 def compression_byte(gain: Column) -> Column:
@@ -250,28 +259,30 @@ def replay_units(df: DataFrame, data: str) -> DataFrame:
     err is null, ``short``, ``config``, ``count``, ``empty`` (a unit without bytes), ``dependent`` (a first unit that
     can't be decoded by itself) or ``trailing`` (bits that aren't zero after the last unit).
     """
-    bits = F.col("__bits")
-    out = df.withColumn("__bits", bits_of(F.col(data))).withColumn("__c", escape_number(bits, F.lit(0), CONFIG_WIDTHS))
+    raw = F.col(data)
+    out = df.withColumn("__c", escape_number(raw, F.lit(0), CONFIG_WIDTHS))
     out = out.withColumn("__at", (F.col("__c.stop") + 8 * F.col("__c.value")).cast("int"))
-    out = out.withColumn("__n", escape_number(bits, F.col("__at") + 2, COUNT_WIDTHS)).withColumn("__to0", F.col("__n.stop"))
+    out = out.withColumn("__n", escape_number(raw, F.col("__at") + 2, COUNT_WIDTHS)).withColumn("__to0", F.col("__n.stop"))
     for k in range(MOST_UNITS):
-        out = out.withColumn(f"__u{k}", F.when(F.col("__n.value") > k, escape_number(bits, F.col(f"__to{k}"), UNIT_WIDTHS)))
+        out = out.withColumn(f"__u{k}", F.when(F.col("__n.value") > k, escape_number(raw, F.col(f"__to{k}"), UNIT_WIDTHS)))
         out = out.withColumn(f"__to{k + 1}", F.when(F.col("__n.value") > k, F.col(f"__u{k}.stop") + 8 * F.col(f"__u{k}.value")).otherwise(F.col(f"__to{k}")).cast("int"))
-    cut = lambda first, n: packed(F.substring(bits, first + 1, 8 * n))
+    cut = lambda first, n: byte_run(raw, first, n)
     err = F.when(F.col("__c").isNull(), "short").when(F.col("__c.value") > MOST_CONFIG, "config").when(F.col("__n").isNull(), "short").when(F.col("__n.value") > MOST_UNITS, "count")
     for k in range(MOST_UNITS):
         mine = F.col("__n.value") > k
-        err = err.when(mine & (F.col(f"__u{k}.value") == 0), "empty").when(mine & (F.col(f"__u{k}").isNull() | (F.length(bits) < F.col(f"__to{k + 1}"))), "short")
+        err = err.when(mine & (F.col(f"__u{k}.value") == 0), "empty").when(mine & (F.col(f"__u{k}").isNull() | (8 * F.length(raw) < F.col(f"__to{k + 1}"))), "short")
         if not k:
-            err = err.when(mine & (number(bits, F.col("__u0.stop"), 1) == 0), "dependent")
-    err = err.when(~F.substring(bits, F.col(f"__to{MOST_UNITS}") + 1, F.length(bits)).rlike("^0*$"), "trailing")
+            err = err.when(mine & (number(raw, F.col("__u0.stop"), 1) == 0), "dependent")
+    stop = F.col(f"__to{MOST_UNITS}")
+    rest = F.coalesce(number(raw, stop, F.when(stop % 8 > 0, 8 - stop % 8).otherwise(8)), F.lit(0)) != 0
+    err = err.when(rest | F.hex(F.substring(raw, F.floor(stop / 8).cast("int") + 2, F.length(raw))).rlike("[^0]"), "trailing")
     out = out.withColumn("err", err)
     units = F.filter(F.array(*[F.when(F.col("__n.value") > k, cut(F.col(f"__u{k}.stop"), F.col(f"__u{k}.value").cast("int"))) for k in range(MOST_UNITS)]), lambda u: u.isNotNull())
     good = F.col("err").isNull()
     return out.select(
         *[F.col(c) for c in df.columns], "err",
         F.when(good, cut(F.col("__c.stop"), F.col("__c.value").cast("int"))).alias("config"),
-        F.when(good, number(bits, F.col("__at"), 1) == 1).alias("fade"),
+        F.when(good, number(raw, F.col("__at"), 1) == 1).alias("fade"),
         F.when(good, units).alias("units"),
     )
 
@@ -279,23 +290,23 @@ def replay_units(df: DataFrame, data: str) -> DataFrame:
 def spatial_fields(data: Column) -> Column:
     """A spatial record's fields, and err: null, ``short``, ``rate``, ``tree``, ``shape`` or ``decorrelation``."""
 
-    def read(bits: Column) -> Column:
-        index = number(bits, 0, 4)
+    def read(data: Column) -> Column:
+        index = number(data, 0, 4)
         at = F.when(index == 15, 28).otherwise(4)
-        take = lambda off, n: number(bits, at + off, n)
+        take = lambda off, n: number(data, at + off, n)
         shape, other = take(18, 2), take(20, 2)
-        rate = F.when(index == 15, number(bits, 4, 24).cast("int")).otherwise(_picked(SPATIAL_RATES, index))
+        rate = F.when(index == 15, number(data, 4, 24).cast("int")).otherwise(_picked(SPATIAL_RATES, index))
         stop = at + 22 + (shape == 2).cast("int")
-        err = F.when(index.isin(13, 14), "rate").when(take(8, 4) != TREE, "tree").when(shape > 2, "shape").when(other > 2, "decorrelation").when(F.coalesce(F.length(bits) < stop, F.lit(True)), "short")
+        err = F.when(index.isin(13, 14), "rate").when(take(8, 4) != TREE, "tree").when(shape > 2, "shape").when(other > 2, "decorrelation").when(F.coalesce(8 * F.length(data) < stop, F.lit(True)), "short")
         some = lambda v: F.when(err.isNull(), v)
-        rest = (F.length(bits) - F.ceil(stop / 8) * 8) / 8
+        rest = (8 * F.length(data) - F.ceil(stop / 8) * 8) / 8
         return F.struct(
             err.alias("err"), some(rate).alias("rate"), some((take(0, 5) + 1).cast("int")).alias("slots"), some(_picked(RESOLUTIONS, take(5, 3))).alias("resolution"),
             some(take(12, 2).cast("int")).alias("quantiser"), some(take(14, 1) == 1).alias("arbitrary"), some(take(15, 3).cast("int")).alias("gain"), some(shape.cast("int")).alias("shape"),
             some(other.cast("int")).alias("decorrelation"), some(F.when(shape == 2, take(22, 1) == 1)).alias("envelope"), some(rest.cast("int")).alias("more"),
         )
 
-    return with_value(bits_of(data), read)
+    return with_value(data, read)
 
 
 def range_payload(data: Column) -> Column:
@@ -304,37 +315,37 @@ def range_payload(data: Column) -> Column:
     The channels come in sevens, each followed by a bit that says whether more do.
     """
 
-    def read(bits: Column) -> Column:
-        at0 = F.when(number(bits, 0, 1) == 1, 9).otherwise(1)
+    def read(data: Column) -> Column:
+        at0 = F.when(number(data, 0, 1) == 1, 9).otherwise(1)
 
         def masked(start: Column) -> Column:
-            mask = F.when(number(bits, start, 1) == 1, F.regexp_extract(F.substring(bits, start + 2, F.length(bits)), "^(?:[01]{7}1)*[01]{7}0", 0)).otherwise("")
-            lost = (number(bits, start, 1) == 1) & (mask == "")
+            mask = F.when(number(data, start, 1) == 1, F.regexp_extract(F.substring(bits_of(data), start + 2, 8 * F.length(data)), "^(?:[01]{7}1)*[01]{7}0", 0)).otherwise("")
+            lost = (number(data, start, 1) == 1) & (mask == "")
             return with_value(F.struct(mask.alias("m"), lost.alias("lost"), (start + 1 + F.length(mask)).alias("to")), banded)
 
         def banded(x: Column) -> Column:
-            many = number(bits, x["to"], 1) == 1
-            count = F.when(many, number(bits, x["to"] + 1, 4) + 1).otherwise(1)
-            scheme = F.when(many, number(bits, x["to"] + 5, 4)).otherwise(0)
+            many = number(data, x["to"], 1) == 1
+            count = F.when(many, number(data, x["to"] + 1, 4) + 1).otherwise(1)
+            scheme = F.when(many, number(data, x["to"] + 5, 4)).otherwise(0)
             tops = x["to"] + F.when(many, 9).otherwise(1)
             made = F.struct(x["m"].alias("m"), x["lost"].alias("lost"), count.cast("int").alias("n"), scheme.cast("int").alias("scheme"), tops.alias("tops"), (tops + F.when(count > 1, 8 * count).otherwise(0)).alias("to"))
             return with_value(made, ended)
 
         def ended(x: Column) -> Column:
-            level = number(bits, x["to"], 1) == 1
+            level = number(data, x["to"], 1) == 1
             first = (x["to"] + F.when(level, 9).otherwise(1)).cast("int")
             each = F.sequence(F.lit(0), x["n"] - 1)
-            tops = F.when(x["n"] > 1, F.transform(each, lambda i: number(bits, (x["tops"] + 8 * i).cast("int"), 8).cast("int"))).otherwise(F.array(F.lit(255)))
+            tops = F.when(x["n"] > 1, F.transform(each, lambda i: number(data, (x["tops"] + 8 * i).cast("int"), 8).cast("int"))).otherwise(F.array(F.lit(255)))
             out = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x["m"]), F.lit(1))), lambda i: i % 8 != 0), lambda i: F.substring(x["m"], i, F.lit(1)))
             made = F.struct(
-                F.when(number(bits, 0, 1) == 1, number(bits, 1, 4).cast("int")).alias("tag"), F.array_join(out, "").alias("excluded"), x["scheme"].alias("scheme"), tops.alias("tops"),
-                F.when(level, number(bits, x["to"] + 1, 7).cast("int")).alias("level"), F.transform(each, lambda i: number(bits, first + 8 * i, 8).cast("int")).alias("control"),
+                F.when(number(data, 0, 1) == 1, number(data, 1, 4).cast("int")).alias("tag"), F.array_join(out, "").alias("excluded"), x["scheme"].alias("scheme"), tops.alias("tops"),
+                F.when(level, number(data, x["to"] + 1, 7).cast("int")).alias("level"), F.transform(each, lambda i: number(data, first + 8 * i, 8).cast("int")).alias("control"),
             )
-            return F.when(~x["lost"] & (F.length(bits) >= first + 8 * x["n"]), made)
+            return F.when(~x["lost"] & (8 * F.length(data) >= first + 8 * x["n"]), made)
 
         return with_value(at0, masked)
 
-    return with_value(bits_of(data), read)
+    return with_value(data, read)
 
 
 def writer_error(version: Column, subframes: Column, signaling: Column, extended: Column) -> Column:
@@ -368,16 +379,16 @@ def file_header(mark: Column, original: Column, home: Column, varies: Column, bi
     return F.when((bitrate < 1 << 23) & (F.length(comment) < 256), F.concat(packed(head), F.unhex(F.lpad(F.hex(F.length(comment).cast("long")), 2, "0")), comment))
 
 
-def _numbers(bits: Column, first: Column, count: Column, n: int) -> Column:
+def _numbers(data: Column, first: Column, count: Column, n: int) -> Column:
     """``count`` numbers of ``n`` bits each, one after the other."""
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: number(bits, (first + n * i).cast("int"), n).cast("int"))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: number(data, (first + n * i).cast("int"), n).cast("int"))
 
 
 def file_fields(df: DataFrame, data: str) -> DataFrame:
     """``df`` with the fields of the file header in column ``data``, of one program, and stop, its length in bytes; err is null, ``mark``, ``programs``, ``rate`` or ``short``."""
-    bits, c = F.col("__bits"), F.col
-    take = lambda first, n: number(bits, first, n)
-    out = df.withColumn("__bits", bits_of(c(data))).withColumn("__a", F.when(take(32, 1) == 1, 105).otherwise(33))
+    raw, c = F.col(data), F.col
+    take = lambda first, n: number(raw, first, n)
+    out = df.withColumn("__a", F.when(take(32, 1) == 1, 105).otherwise(33))
     out = out.withColumn("__p", c("__a") + 30 + F.when(take(c("__a") + 2, 1) == 1, 0).otherwise(20))
     sizes = {"front": (10, 4), "side": (14, 4), "back": (18, 4), "low": (22, 2), "associated": (24, 3), "coupled": (27, 4)}
     out = out.withColumns({f"__n_{k}": take(c("__p") + at, n).cast("int") for k, (at, n) in sizes.items()})
@@ -388,12 +399,12 @@ def file_fields(df: DataFrame, data: str) -> DataFrame:
         at += 1
     for k, n in (("front", 5), ("side", 5), ("back", 5), ("low", 4), ("associated", 4), ("coupled", 5)):
         here, size = c(f"__at{at}"), c(f"__n_{k}")
-        each = F.when(size > 0, _numbers(bits, here, size, n)).otherwise(F.array().cast("array<int>"))
+        each = F.when(size > 0, _numbers(raw, here, size, n)).otherwise(F.array().cast("array<int>"))
         out = out.withColumns({f"__{k}": each, f"__at{at + 1}": (here + n * size).cast("int")})
         at += 1
     out = out.withColumn("__c", (F.ceil(c(f"__at{at}") / 8) * 8).cast("int")).withColumn("__size", take(c("__c"), 8).cast("int"))
-    err = F.when(F.length(bits) < 33, "short").when(F.substring(bits, 1, 32) != "".join(f"{b:08b}" for b in b"ADIF"), "mark")
-    err = err.when(take(c("__a") + 26, 4) > 0, "programs").when(take(c("__p") + 6, 4).isin(13, 14), "rate").when(c("__size").isNull() | (F.length(bits) < c("__c") + 8 + 8 * c("__size")), "short")
+    err = F.when(F.length(raw) < 5, "short").when(F.hex(F.substring(raw, 1, 4)) != b"ADIF".hex(), "mark")
+    err = err.when(take(c("__a") + 26, 4) > 0, "programs").when(take(c("__p") + 6, 4).isin(13, 14), "rate").when(c("__size").isNull() | (8 * F.length(raw) < c("__c") + 8 + 8 * c("__size")), "short")
     twos = lambda k: F.aggregate(c(f"__{k}"), F.lit(0), lambda a, e: a + 1 + F.shiftright(e, 4))
     out = out.withColumn("err", err)
     some = lambda v: F.when(c("err").isNull(), v)
