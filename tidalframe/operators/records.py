@@ -101,11 +101,15 @@ def descriptor(data: Column) -> Column:
     """The fields of a 16-bit descriptor of a broadcast stream, and err: null, ``short``, ``rate``, ``mode``, ``stereo`` or ``surround``."""
 
     def read(data: Column) -> Column:
-        coding, sbr, mode, rate, coder = number(data, 0, 2), number(data, 2, 1) == 1, number(data, 3, 2), number(data, 5, 3), number(data, 10, 5)
+        fields = {"coding": (0, 2), "sbr": (2, 1), "mode": (3, 2), "rate": (5, 3), "text": (8, 1), "enhanced": (9, 1), "coder": (10, 5), "reserved": (15, 1)}
+        return with_value(F.struct(F.length(data).alias("bytes"), *[number(data, at, n).alias(k) for k, (at, n) in fields.items()]), judged)
+
+    def judged(x: Column) -> Column:
+        coding, sbr, mode, rate, coder = x["coding"], x["sbr"] == 1, x["mode"], x["rate"], x["coder"]
         plain, extended = coding == 0, coding == 3
         hertz = F.when(extended, _picked(EXTENDED_RATES, rate)).otherwise(_picked(PLAIN_RATES, rate))
         surround = F.shiftright(coder, 2)
-        rows = F.when(8 * F.length(data) < 16, "short").when(hertz.isNull(), "rate").when((plain & (mode == 3)) | (extended & mode.isin(1, 3)), "mode")
+        rows = F.when(x["bytes"] < 2, "short").when(hertz.isNull(), "rate").when((plain & (mode == 3)) | (extended & mode.isin(1, 3)), "mode")
         rows = rows.when(plain & (mode == 1) & ~sbr, "stereo").when((plain | extended) & ~surround.isin(0, 2, 3, 7), "surround")
         return F.struct(
             rows.alias("err"),
@@ -115,10 +119,10 @@ def descriptor(data: Column) -> Column:
             hertz.alias("rate"),
             F.when((plain | extended) & (mode == 2), 2).otherwise(1).alias("channels"),
             (plain & (mode == 1)).alias("parametric"),
-            (number(data, 8, 1) == 1).alias("text"),
-            (number(data, 9, 1) == 1).alias("enhanced"),
+            (x["text"] == 1).alias("text"),
+            (x["enhanced"] == 1).alias("enhanced"),
             coder.cast("int").alias("coder"),
-            (number(data, 15, 1) == 1).alias("reserved"),
+            (x["reserved"] == 1).alias("reserved"),
             (plain & (surround != 0) & (mode != 1)).alias("surround"),
         )
 
@@ -188,13 +192,21 @@ def downmix_fields(data: Column) -> Column:
     """
 
     def read(data: Column) -> Column:
-        byte = lambda i: number(data, 8 * i, 8)
-        bit = lambda v, k: F.shiftright(v, k).bitwiseAND(F.lit(1))
-        info, status = byte(F.lit(1)), byte(F.lit(2))
-        good = (byte(F.lit(0)) == 0xBC) & (F.shiftright(info, 6) == 3) & (bit(info, 0) == 0) & (status < 32)
-        levels = F.when(bit(status, 4) == 1, byte(F.lit(3)))
+        return with_value(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: number(data, 8 * i, 8)), placed)
+
+    bit = lambda v, k: F.shiftright(v, k).bitwiseAND(F.lit(1))
+
+    def placed(b: Column) -> Column:
+        status = b[2]
         at = 3 + bit(status, 4) + 2 * (bit(status, 2) + bit(status, 1) + bit(status, 0))
-        more = F.when(bit(status, 3) == 1, byte(at))
+        more = F.when(bit(status, 3) == 1, F.get(b, at.cast("int")))
+        return with_value(F.struct(b.alias("b"), at.cast("int").alias("at"), more.alias("more")), made)
+
+    def made(x: Column) -> Column:
+        byte = lambda i: F.get(x["b"], i)
+        info, status, at, more = x["b"][1], x["b"][2], x["at"], x["more"]
+        good = (x["b"][0] == 0xBC) & (F.shiftright(info, 6) == 3) & (bit(info, 0) == 0) & (status < 32)
+        levels = F.when(bit(status, 4) == 1, byte(F.lit(3)))
         has = lambda k: F.coalesce(bit(more, k) == 1, F.lit(False))
         ab = F.when(has(6), byte(at + 1))
         gains = at + 1 + has(6).cast("int")
@@ -202,7 +214,7 @@ def downmix_fields(data: Column) -> Column:
         low = F.when(has(4), byte(gains + 2 * has(5).cast("int")))
         ended = ((bit(status, 4) == 1) & levels.isNull()) | ((bit(status, 3) == 1) & more.isNull()) | (has(6) & ab.isNull()) | (has(5) & two.isNull()) | (has(4) & low.isNull())
         part = lambda v, right, mask: F.shiftright(v, right).bitwiseAND(F.lit(mask)).cast("int")
-        made = F.struct(
+        fields = F.struct(
             (bit(info, 1) == 1).alias("pseudo"),
             F.when(bit(levels, 7) == 1, part(levels, 4, 7)).alias("center"),
             F.when(bit(levels, 3) == 1, part(levels, 0, 7)).alias("surround"),
@@ -212,7 +224,7 @@ def downmix_fields(data: Column) -> Column:
             part(two, 1, 127).alias("two"),
             part(low, 4, 15).alias("low"),
         )
-        return F.when(good & ~ended, made)
+        return F.when(good & ~ended, fields)
 
     return with_value(data, read)
 
@@ -292,18 +304,23 @@ def spatial_fields(data: Column) -> Column:
 
     def read(data: Column) -> Column:
         index = number(data, 0, 4)
-        at = F.when(index == 15, 28).otherwise(4)
-        take = lambda off, n: number(data, at + off, n)
-        shape, other = take(18, 2), take(20, 2)
-        rate = F.when(index == 15, number(data, 4, 24).cast("int")).otherwise(_picked(SPATIAL_RATES, index))
+        return with_value(F.struct(index.alias("index"), F.when(index == 15, 28).otherwise(4).alias("at")), lambda h: with_value(fields(data, h), judged))
+
+    def fields(data: Column, h: Column) -> Column:
+        places = {"slots": (0, 5), "resolution": (5, 3), "tree": (8, 4), "quantiser": (12, 2), "arbitrary": (14, 1), "gain": (15, 3), "shape": (18, 2), "other": (20, 2), "envelope": (22, 1)}
+        rate = F.when(h["index"] == 15, number(data, 4, 24).cast("int")).otherwise(_picked(SPATIAL_RATES, h["index"]))
+        return F.struct(h["index"].alias("index"), h["at"].alias("at"), (8 * F.length(data)).alias("bits"), rate.alias("rate"), *[number(data, h["at"] + off, n).alias(k) for k, (off, n) in places.items()])
+
+    def judged(x: Column) -> Column:
+        at, shape, other, rate = x["at"], x["shape"], x["other"], x["rate"]
         stop = at + 22 + (shape == 2).cast("int")
-        err = F.when(index.isin(13, 14), "rate").when(take(8, 4) != TREE, "tree").when(shape > 2, "shape").when(other > 2, "decorrelation").when(F.coalesce(8 * F.length(data) < stop, F.lit(True)), "short")
+        err = F.when(x["index"].isin(13, 14), "rate").when(x["tree"] != TREE, "tree").when(shape > 2, "shape").when(other > 2, "decorrelation").when(F.coalesce(x["bits"] < stop, F.lit(True)), "short")
         some = lambda v: F.when(err.isNull(), v)
-        rest = (8 * F.length(data) - F.ceil(stop / 8) * 8) / 8
+        rest = (x["bits"] - F.ceil(stop / 8) * 8) / 8
         return F.struct(
-            err.alias("err"), some(rate).alias("rate"), some((take(0, 5) + 1).cast("int")).alias("slots"), some(_picked(RESOLUTIONS, take(5, 3))).alias("resolution"),
-            some(take(12, 2).cast("int")).alias("quantiser"), some(take(14, 1) == 1).alias("arbitrary"), some(take(15, 3).cast("int")).alias("gain"), some(shape.cast("int")).alias("shape"),
-            some(other.cast("int")).alias("decorrelation"), some(F.when(shape == 2, take(22, 1) == 1)).alias("envelope"), some(rest.cast("int")).alias("more"),
+            err.alias("err"), some(rate).alias("rate"), some((x["slots"] + 1).cast("int")).alias("slots"), some(_picked(RESOLUTIONS, x["resolution"])).alias("resolution"),
+            some(x["quantiser"].cast("int")).alias("quantiser"), some(x["arbitrary"] == 1).alias("arbitrary"), some(x["gain"].cast("int")).alias("gain"), some(shape.cast("int")).alias("shape"),
+            some(other.cast("int")).alias("decorrelation"), some(F.when(shape == 2, x["envelope"] == 1)).alias("envelope"), some(rest.cast("int")).alias("more"),
         )
 
     return with_value(data, read)
