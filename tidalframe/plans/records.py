@@ -240,7 +240,7 @@ SELECT p AS p_partkey, CAST(CASE WHEN good AND p % 2 = 0 THEN p % 16 END AS INTE
 b AS (SELECT *, list_transform(range(1, nf + 1), lambda i: (p + i) % 2 * 16 + (p + i) % 16) AS f, list_transform(range(1, ns + 1), lambda i: (p + i) % 2 * 16 + (p * 3 + i) % 16) AS s, list_transform(range(1, nb + 1), lambda i: (p + i) % 2 * 16 + (p * 5 + i) % 16) AS k,
   list_transform(range(1, nc + 1), lambda i: (p + i) % 2 * 16 + (p * 7 + i) % 16) AS c, list_transform(range(1, nl + 1), lambda i: (p * 9 + i) % 16) AS l, list_transform(range(1, nd + 1), lambda i: (p * 11 + i) % 16) AS q,
   33 + CASE WHEN p % 2 = 1 THEN 72 ELSE 0 END + 30 + CASE WHEN p % 7 < 3 THEN 0 ELSE 20 END + 31 + CASE WHEN p % 3 = 0 THEN 5 ELSE 1 END + CASE WHEN p % 4 = 0 THEN 5 ELSE 1 END + CASE WHEN p % 5 = 0 THEN 4 ELSE 1 END + 5 * (nf + ns + nb + nc) + 4 * (nl + nd) AS bits FROM a),
-e AS (SELECT *, (bits + 7) // 8 + 1 + octet_length(encode(p_name)) AS total, CASE WHEN p % 19 = 0 THEN 'mark' WHEN p % 16 IN (13, 14) THEN 'rate' WHEN p % 23 = 0 AND (bits + 7) // 8 + 1 + octet_length(encode(p_name)) > 20 THEN 'short' END AS err FROM b)
+e AS (SELECT *, (bits + 7) // 8 + 1 + octet_length(encode(p_name)) AS total, CASE WHEN p % 19 = 0 THEN 'mark' WHEN p % 16 IN (13, 14) AND NOT (p % 23 = 0 AND p % 2 = 1 AND p % 7 >= 3) THEN 'rate' WHEN p % 23 = 0 AND (bits + 7) // 8 + 1 + octet_length(encode(p_name)) > 20 THEN 'short' END AS err FROM b)
 SELECT p AS p_partkey, err, CASE WHEN err IS NULL THEN p % 3 = 1 END AS original, CASE WHEN err IS NULL THEN p % 5 = 1 END AS home, CASE WHEN err IS NULL THEN p % 7 < 3 END AS varies, CAST(CASE WHEN err IS NULL THEN p * 7919 % 8388608 END AS INTEGER) AS bitrate,
   CAST(CASE WHEN err IS NULL AND p % 3 = 0 THEN p % 16 END AS INTEGER) AS mono, CAST(CASE WHEN err IS NULL AND p % 4 = 0 THEN p % 15 END AS INTEGER) AS stereo, CAST(CASE WHEN err IS NULL AND p % 5 = 0 THEN p % 8 END AS INTEGER) AS matrix,
   CASE WHEN err IS NULL THEN array_to_string(f, ',') END AS front, CASE WHEN err IS NULL THEN array_to_string(s, ',') END AS side, CASE WHEN err IS NULL THEN array_to_string(k, ',') END AS back, CASE WHEN err IS NULL THEN array_to_string(l, ',') END AS low,
