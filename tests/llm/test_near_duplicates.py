@@ -355,3 +355,37 @@ def test_embeddings_equal_their_sql(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {tuple(r) for r in embeddings.near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()}
     assert got == _duck(embeddings.OP4_SQL, embeddings=("vec_id BIGINT, embedding DOUBLE[]", rows))
+
+
+def test_key_rows_are_the_keys_of_lines(spark):
+    rng = random.Random(25)
+    word, keys = made_lines(rng)
+    keys += ["a", "été", "x " * 40 + "x", " ".join(["same"] * 50), "wörter " * 3 + "ende"] + [" ".join(word() for _ in range(n)) for n in range(1, 130, 3)]
+    keys += [reworded(rng, k, 0.1, word) for k in keys]
+    rows = [(i, -i, k) for i, k in enumerate(keys) if k]
+    df = spark.createDataFrame(rows, "h1 long, h2 long, line string")
+    want = df.select("h1", F.explode(lines.line_keys(F.col("line"))).alias("key"))
+    got = sorted(map(tuple, lines.key_rows(df).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 1000
+
+
+def test_different_blocks_seldom_have_the_same_votes(spark):
+    # 18 million pairs: in 30 bits some 13 of them met by chance, and such pairs grew with the square of the lines.
+    prints = spark.range(6000).select(lines._hashes(F.array(F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), "id"))).alias("h"))
+    assert prints.select(*[v.alias(f"v{i}") for i, v in enumerate(lines._votes(F.col("h")))]).distinct().count() == 6000
+
+
+def test_similarity_of_whole_lines_equals_brute_force(spark):
+    rng = random.Random(26)
+    word = lambda: "".join(rng.choices("etaoinshé", k=rng.randint(2, 8)))
+    pairs = [("", "a"), ("a", "a"), ("abc", "")]
+    for n in (3, 10, 30, 60, 120):
+        for _ in range(12):
+            x = " ".join(word() for _ in range(n))
+            y = rng.choice([edited, lambda r, k, s: reworded(r, k, s, word)])(rng, x, rng.choice([0.1, 0.2, 0.3]))
+            cut = rng.randrange(len(x))
+            pairs += [(x, y), (x, " ".join(word() for _ in range(n))), (x, y[cut // 4 :]), (x, y[: len(y) - cut // 4]), (x, y[cut:] + y[:cut]), (x, word() * 3 + y), (x, x[: len(x) // 2] + y[::-1][len(x) // 2 :])]
+    df = spark.createDataFrame(pairs, "x string, y string").select("x", "y", lines._similar(F.col("x"), F.col("y")).alias("s"))
+    got = df.collect()
+    assert all(r.s == (distance(r.x, r.y) <= 0.2 * max(len(r.x), len(r.y)) + 1e-9) for r in got)
+    assert 50 < sum(r.s for r in got) < len(got) - 50
