@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 from types import SimpleNamespace
@@ -10,6 +11,7 @@ from types import SimpleNamespace
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -228,6 +230,27 @@ def test_all_counted_ngrams_are_broadcast(spark, monkeypatch):
     assert len(tables) == 5 and np.array_equal(toxicity._ratio(tables, keys), np.arange(1, len(keys) + 1))
 
 
+def test_broadcast_ngrams_take_no_table_on_the_driver(spark):
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 1 << 40, 40_000))
+    found = spark.createDataFrame([(int(k), float(i + 1)) for i, k in enumerate(keys)], "key long, ratio double")
+    tables = toxicity._tables(found)
+    assert sum(len(t.value) for t in tables) < 13 * len(keys)
+    once = toxicity._ratios_of(tables)
+    assert toxicity._ratios_of(list(tables)) is once and np.array_equal(once.of(keys), np.arange(1, len(keys) + 1))
+    assert toxicity._ratios_of(toxicity._tables(found.limit(10))) is not once
+
+
+def test_a_batch_is_cut_so_that_its_numbers_stay_small():
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text " * 400] * 500})
+    tracemalloc.start()
+    for part in bytetext.parts(batch, "text"):
+        toxicity.grams(*bytetext.buffers(part.column("text")))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120_000_000
+
+
 def test_uncounted_ngrams_back_off_to_their_context(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "ORDER", 5)
     monkeypatch.setattr(toxicity, "CONTEXT", 1 << 40)

@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 
 from .common import worker_state
 
-#: Bytes of text that are handled at once; a longer text is handled alone.
-PART_BYTES = 4_000_000
+#: Bytes of text that are handled at once; a longer text is handled alone. A byte takes up to 100 bytes of numbers meanwhile.
+PART_BYTES = 1_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32

@@ -17,12 +17,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext
-from .common import crc_mod, documents, dropped, share, shared_value, written
+from .common import crc_mod, documents, dropped, share, worker_state, written
 from .training import one_of_each_id, sampled
 
 #: Bytes of an n-gram, the predicted one included; with its class mark and CONTEXT it has to fit a long.
@@ -33,8 +34,8 @@ CONCENTRATION = 5.0
 EVIDENCE = (1.0, 3.0)
 #: Marks the key of a context; n-grams lie below.
 CONTEXT = 1 << 8 * ORDER
-#: N-grams and contexts of a broadcast block at most, about; a block takes 24 to 60 bytes an n-gram.
-BLOCK = 1 << 21
+#: N-grams and contexts of a broadcast block at most, about: 12 bytes each, of which the driver holds a few copies.
+BLOCK = 1 << 19
 #: Texts of each class that the logistic curve is fitted on.
 PER_CLASS = 3000
 #: Labels up to this number are broadcast to the scan of the texts; more are joined by a shuffle.
@@ -215,32 +216,32 @@ class Ratios:
 
 
 def _tables(found: DataFrame) -> list:
-    """The ratios of all n-grams and contexts in broadcasts of about BLOCK; the driver holds one block at a time."""
+    """Keys and ratios of all n-grams and contexts in broadcasts of about BLOCK; the driver holds one block at a time and builds no table of it."""
     found = written(found.select("key", F.col("ratio").cast("float").alias("ratio")), "ratios")
     blocks = max(1, -(-found.count() // BLOCK))
     out = []
     for b in range(blocks):
         got = found.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow()
-        out.append(share(found.sparkSession, Ratios([(np.asarray(got["key"]), np.asarray(got["ratio"]))])))
+        out.append(share(found.sparkSession, (np.asarray(got["key"]), np.asarray(got["ratio"]))))
     return out
 
 
-def _looked_up(tables: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ratio of each key, and whether one block holds it."""
-    out, known = np.zeros(len(keys)), np.zeros(len(keys), bool)
-    for table in tables:
-        value, here = shared_value(table).found(keys)
-        out += value
-        known = known | here
-    return out, known
+def _ratios_of(tables: list) -> Ratios:
+    """One table of all blocks, 24 to 60 bytes an n-gram; a worker keeps the last one from task to task."""
+    state, packed = worker_state(), [t.value for t in tables]
+    known = state.get("ratios", ((), None))
+    if len(known[0]) != len(packed) or any(a is not b for a, b in zip(known[0], packed, strict=True)):
+        known = state["ratios"] = packed, Ratios(cloudpickle.loads(p) for p in packed)
+    return known[1]
 
 
 def _ratio(tables: list, gram: np.ndarray) -> np.ndarray:
     """The ratio of each n-gram: its own if it was counted, else that of its context, else 0."""
-    out, known = _looked_up(tables, gram)
-    new = np.flatnonzero(~known)
+    ratios = _ratios_of(tables)
+    value, known = ratios.found(gram)
+    out, new = value.astype(np.float64), np.flatnonzero(~known)
     if len(new):
-        out[new] = _looked_up(tables, gram[new] >> 8 | CONTEXT)[0]
+        out[new] = ratios.of(gram[new] >> 8 | CONTEXT)
     return out
 
 
