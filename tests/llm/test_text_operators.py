@@ -251,6 +251,19 @@ def test_a_batch_is_cut_so_that_its_numbers_stay_small():
     assert most < 120_000_000
 
 
+def test_what_workers_of_the_pipeline_hold_and_keep_stays_small():
+    common.worker_state().pop("powers", None)
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text " * 400] * 500})
+    tracemalloc.start()
+    for part in bytetext.parts(batch, "text"):
+        data, offsets = bytetext.buffers(part.column("text"))
+        bytecnn.windows_of(data, offsets)
+        bytetext.word_hashes(data, *bytetext.runs(bytetext.ALNUM[data], offsets))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60_000_000 and sum(x.nbytes for x in common.worker_state()["powers"]) < 20_000_000
+
+
 def test_uncounted_ngrams_back_off_to_their_context(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "ORDER", 5)
     monkeypatch.setattr(toxicity, "CONTEXT", 1 << 40)
