@@ -241,6 +241,12 @@ def test_broadcast_ngrams_take_no_table_on_the_driver(spark):
     assert toxicity._ratios_of(toxicity._tables(found.limit(10))) is not once
 
 
+def test_no_plan_holds_the_ngrams_of_all_lengths_at_once(spark):
+    counts = spark.createDataFrame([(g, g % 3, 1) for g in range(50)], "g long, t long, o long")
+    plan = toxicity.ratios(counts)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") < 12
+
+
 def test_a_batch_is_cut_so_that_its_numbers_stay_small():
     batch = pa.RecordBatch.from_pydict({"text": ["some words of a text " * 400] * 500})
     tracemalloc.start()

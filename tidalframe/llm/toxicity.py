@@ -115,17 +115,17 @@ def shared_model(counts: DataFrame) -> DataFrame:
     """``counts`` (g, t, o) with p: the Kneser-Ney probability of each n-gram in all texts together.
 
     The longest n-grams have the counts of both classes; a shorter one counts the different n-grams of
-    the next length that end in it.
+    the next length that end in it. Each length is written, its counts and its model: in one plan every use of
+    a length would build all longer ones anew, and the driver hold the square of the lengths in stages.
     """
-    levels, now = [], counts.select("g")
+    levels, now = [], counts
     for size in range(ORDER - 1, 0, -1):
         mask = (1 << (8 * size)) - 1
-        now = now.groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("n"))
+        now = written(now.groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("n")), "ngram-levels")
         levels.append((size, now))
-        now = now.select("g")
     below = None
     for size, level in reversed(levels):
-        below = _kneser_ney(level, size, below)
+        below = written(_kneser_ney(level, size, below), "ngram-model")
     return _kneser_ney(counts.withColumn("n", F.col("t") + F.col("o")), ORDER, below)
 
 
