@@ -389,3 +389,20 @@ def test_similarity_of_whole_lines_equals_brute_force(spark):
     got = df.collect()
     assert all(r.s == (distance(r.x, r.y) <= 0.2 * max(len(r.x), len(r.y)) + 1e-9) for r in got)
     assert 50 < sum(r.s for r in got) < len(got) - 50
+
+
+def test_only_one_text_of_a_compared_pair_moves(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, (i, 0), " ".join(rng.choices(["stone", "river", "cloud"], k=4))) for i in range(40)]
+    texts = spark.createDataFrame(rows, "h1 long, node struct<id long, pos int>, line string")
+    pairs = [(a, b) for a in range(40) for b in range(a)]
+    plans = []
+    monkeypatch.setattr(lines, "written", lambda df, _: plans.append(df) or df)
+    got = lines._verified(spark.createDataFrame(pairs, "x long, y long"), texts).collect()
+    most = {(a, b): max(len(rows[a][2]), len(rows[b][2])) for a, b in pairs}
+    close = {p for p in pairs if 5 * abs(len(rows[p[0]][2]) - len(rows[p[1]][2])) <= most[p]}
+    assert {(r.a.id, r.b.id) for r in got} == close and len(got) == len(close)
+    assert all(r.good == (5 * distance(rows[r.a.id][2], rows[r.b.id][2]) <= most[r.a.id, r.b.id]) for r in got[::9])
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    moves = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plans[0]._jdf.queryExecution().explainString(mode))
+    assert moves and not any("__x" in m and "__y" in m for m in moves)
