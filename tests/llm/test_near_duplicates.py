@@ -406,3 +406,34 @@ def test_only_one_text_of_a_compared_pair_moves(spark, monkeypatch):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     moves = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plans[0]._jdf.queryExecution().explainString(mode))
     assert moves and not any("__x" in m and "__y" in m for m in moves)
+
+
+def test_copies_of_a_leader_meet_strangers_of_their_bucket_as_one(spark, monkeypatch):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=6))
+    shared = [word() for _ in range(5)]
+    bases = [" ".join(shared + [word() for _ in range(20)]) for _ in range(6)]
+    # Two of them are further apart than similar lines are, some of their copies aren't.
+    bases.append(edited(rng, bases[0], 0.25))
+    rows = [edited(rng, b, rng.choice([0.02, 0.05, 0.12])) for b in bases for _ in range(6)] + bases + [bases[1][:90], bases[2] + " " + word() * 12]
+    rows = sorted(set(rows))
+    near = set(line_pairs(rows))
+    leaders = {b: rows.index(b) for b in bases}
+    group = {i: min((leaders[b] for b in bases if i == leaders[b] or (max(i, leaders[b]), min(i, leaders[b])) in near), default=i) for i in range(len(rows))}
+    node = "struct<id long, pos int>"
+    texts = spark.createDataFrame([(i, (i, 0), r, len(r)) for i, r in enumerate(rows)], f"h1 long, node {node}, line string, n int")
+    keyed = [(key, i, 0, (group[i], 0), (group[i], 0), len(rows[i]), len(rows[i])) for key in (7, 8) for i in range(len(rows))]
+    keyed = spark.createDataFrame(keyed, f"key int, h1 long, first long, low {node}, high {node}, short int, long int")
+    links = spark.createDataFrame([(i, g, distance(rows[i], rows[g])) for i, g in group.items() if i != g], "x long, y long, edits int")
+    got = [(r.x, r.y) for r in lines._across(keyed, links, texts).collect()]
+    across = {(a, b) for a in range(len(rows)) for b in range(a) if group[a] != group[b]}
+    assert len(got) == len(set(got)) and across & near <= set(got) <= across and across & near
+    assert len(got) < len(across) / 3
+
+    # The whole operator, with one leader a bucket: what is similar and shares a key meets.
+    monkeypatch.setattr(lines, "LEADERS", 1)
+    texts = [r for r in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [set(r.k) for r in df.orderBy("doc_id").select(lines.line_keys(F.col("text")).alias("k")).collect()]
+    roots = united(len(texts), [(a, b) for a, b in near if held[a] & held[b]])
+    assert {r.doc_id for r in lines.duplicate_lines(df).collect() if r.n_dropped} == {i for i, r in enumerate(roots) if i != r}
