@@ -61,3 +61,9 @@ def test_bit_fields_of_short_and_null_texts_equal_their_oracle(spark, tmp_path):
     got = registry.queries()["bit_fields"](spark, str(tmp_path)).select("blob_id", "a", "b", "c", "clear").collect()
     want = con.execute(f"SELECT blob_id, a, b, c, clear FROM ({registry.oracle_sql()['bit_fields']})").fetchall()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["descriptor", "window_info", "pulse_fields", "reorder_lengths", "downmix_fields", "metadata_bytes", "spatial_fields", "range_payload", "writer_options", "file_header"])
+def test_records_of_a_table_in_one_split_are_dealt_out(spark, name):
+    assert spark.read.parquet(f"{DATA}/part.parquet").rdd.getNumPartitions() == 1
+    assert registry.queries()[name](spark, str(DATA)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -48,7 +48,7 @@ def packed(bits: Column) -> Column:
         pieces = F.transform(starts, lambda i: with_value(F.substring(b, i, F.lit(32)), lambda p: F.lpad(F.conv(p, 2, 16), (F.length(p) / 4).cast("int"), F.lit("0"))))
         return F.when(F.length(b) > 0, F.unhex(F.array_join(pieces, ""))).when(F.length(b) == 0, F.unhex(F.lit("")))
 
-    return with_value(F.rpad(bits, (F.ceil(F.length(bits) / 8) * 8).cast("int"), F.lit("0")), whole)
+    return with_value(bits, lambda b: with_value(F.rpad(b, (F.ceil(F.length(b) / 8) * 8).cast("int"), F.lit("0")), whole))
 
 
 def field(value: Column, n: int) -> Column:
@@ -59,10 +59,10 @@ def field(value: Column, n: int) -> Column:
 def number(data: Column, first: Column | int, n: Column | int) -> Column:
     """The number in ``n`` bits, 1 to 48, of a binary value from bit ``first`` on; null beyond the end."""
     first, n = (F.lit(v) if isinstance(v, int) else v for v in (first, n))
-    seven = F.substring(data, F.floor(first / 8).cast("int") + 1, F.lit(7))
+    seven = F.substring(data, F.shiftright(first, 3).cast("int") + 1, F.lit(7))  # dividing costs more where it is interpreted
     raw = F.conv(F.rpad(F.hex(seven), 14, F.lit("0")), 16, 10).cast("long")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
-    return F.when(8 * F.length(data) >= first + n, F.call_function("shiftright", raw, (56 - first % 8 - n).cast("int")).bitwiseAND(mask))
+    return F.when(8 * F.length(data) >= first + n, F.call_function("shiftright", raw, (56 - first.bitwiseAND(F.lit(7)) - n).cast("int")).bitwiseAND(mask))
 
 
 def byte_run(data: Column, first: Column, n: Column) -> Column:
@@ -390,7 +390,7 @@ def file_header(mark: Column, original: Column, home: Column, varies: Column, bi
     """
     bit = lambda v: F.when(v, "1").otherwise("0")
     head = F.concat(
-        bits_of(F.encode(F.lit("ADIF"), "utf-8")), F.coalesce(F.concat(F.lit("1"), bits_of(mark)), F.lit("0")), bit(original), bit(home), bit(varies), field(bitrate, 23), F.lit("0000"),
+        F.lit("".join(f"{b:08b}" for b in b"ADIF")), F.coalesce(F.concat(F.lit("1"), bits_of(mark)), F.lit("0")), bit(original), bit(home), bit(varies), field(bitrate, 23), F.lit("0000"),
         F.when(varies, "").otherwise("0" * 20), program,
     )
     return F.when((bitrate < 1 << 23) & (F.length(comment) < 256), F.concat(packed(head), F.unhex(F.lpad(F.hex(F.length(comment).cast("long")), 2, "0")), comment))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import records as R
-from .views import blobs, table
+from .views import blobs, spread, table
 
 MOST_LONG, MOST_SHORT = 49, 14
 BORDERS, LINES = tuple(range(0, 200, 4)), 256
@@ -15,7 +15,7 @@ HASH = "p_partkey * 2654435761"
 
 
 def _part(spark, d):
-    return table(spark, d, "part").select("p_partkey")
+    return spread(table(spark, d, "part").select("p_partkey"), "p_partkey")
 
 
 def _mod(k: int) -> Column:
@@ -124,7 +124,8 @@ def file_header(spark, d):
         "low": _list(F.expr("p_partkey div 4 % 4"), tag(9)), "associated": _list(F.expr("p_partkey div 5 % 3"), tag(11)),
     }
     comment = F.encode(F.col("p_name"), "utf-8")
-    rows = table(spark, d, "part").select("p_partkey", R.file_header(F.when(_mod(2) == 1, F.encode(F.lit("abcdefghi"), "utf-8")), _mod(3) == 1, _mod(5) == 1, _mod(7) < 3, p * 7919 % (1 << 23), R.program_bits(program), comment).alias("data"))
+    part = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    rows = part.select("p_partkey", R.file_header(F.when(_mod(2) == 1, F.encode(F.lit("abcdefghi"), "utf-8")), _mod(3) == 1, _mod(5) == 1, _mod(7) < 3, p * 7919 % (1 << 23), R.program_bits(program), comment).alias("data"))
     data = F.col("data")
     broken = F.when(_mod(19) == 0, F.concat(F.unhex(F.lit("42")), F.substring(data, 2, 1000))).when(_mod(23) == 0, F.substring(data, 1, 20)).otherwise(data)
     return R.file_fields(rows.select("p_partkey", broken.alias("data")), "data").drop("data")

@@ -1,7 +1,7 @@
 """The supplied tables as frames, signals and packets; each view in Spark and as DuckDB text.
 
-Nothing is collected or repartitioned here: the views are projections that Catalyst folds into
-whatever reads them, so only the columns in use reach the Parquet scan.
+Nothing is collected here, and only ``spread`` deals rows out anew: the views are projections that Catalyst
+folds into whatever reads them, so only the columns in use reach the Parquet scan.
 """
 
 from __future__ import annotations
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as a shuffle has: a narrow table lies in few splits of the scan, and work by row would go on there."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, ch, x): two embeddings make the two channels of a frame."""
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
