@@ -336,27 +336,32 @@ def range_payload(data: Column) -> Column:
         at0 = F.when(number(data, 0, 1) == 1, 9).otherwise(1)
 
         def masked(start: Column) -> Column:
-            mask = F.when(number(data, start, 1) == 1, F.regexp_extract(F.substring(bits_of(data), start + 2, 8 * F.length(data)), "^(?:[01]{7}1)*[01]{7}0", 0)).otherwise("")
-            lost = (number(data, start, 1) == 1) & (mask == "")
-            return with_value(F.struct(mask.alias("m"), lost.alias("lost"), (start + 1 + F.length(mask)).alias("to")), banded)
+            some = number(data, start, 1) == 1
+            mask = F.when(some, F.regexp_extract(F.substring(bits_of(data), start + 2, 8 * F.length(data)), "^(?:[01]{7}1)*[01]{7}0", 0)).otherwise("")
+            return with_value(F.struct(mask.alias("m"), some.alias("some"), start.alias("start")), placed)
+
+        def placed(x: Column) -> Column:
+            to = (x["start"] + 1 + F.length(x["m"])).cast("int")
+            return with_value(F.struct(x["m"].alias("m"), (x["some"] & (x["m"] == "")).alias("lost"), to.alias("to"), (number(data, to, 1) == 1).alias("many")), banded)
 
         def banded(x: Column) -> Column:
-            many = number(data, x["to"], 1) == 1
-            count = F.when(many, number(data, x["to"] + 1, 4) + 1).otherwise(1)
-            scheme = F.when(many, number(data, x["to"] + 5, 4)).otherwise(0)
-            tops = x["to"] + F.when(many, 9).otherwise(1)
-            made = F.struct(x["m"].alias("m"), x["lost"].alias("lost"), count.cast("int").alias("n"), scheme.cast("int").alias("scheme"), tops.alias("tops"), (tops + F.when(count > 1, 8 * count).otherwise(0)).alias("to"))
-            return with_value(made, ended)
+            count = F.when(x["many"], number(data, x["to"] + 1, 4) + 1).otherwise(1)
+            scheme = F.when(x["many"], number(data, x["to"] + 5, 4)).otherwise(0)
+            made = F.struct(x["m"].alias("m"), x["lost"].alias("lost"), count.cast("int").alias("n"), scheme.cast("int").alias("scheme"), (x["to"] + F.when(x["many"], 9).otherwise(1)).alias("tops"))
+            return with_value(made, leveled)
+
+        def leveled(x: Column) -> Column:
+            to = x["tops"] + F.when(x["n"] > 1, 8 * x["n"]).otherwise(0)
+            return with_value(F.struct(x["m"].alias("m"), x["lost"].alias("lost"), x["n"].alias("n"), x["scheme"].alias("scheme"), x["tops"].alias("tops"), to.alias("to"), (number(data, to, 1) == 1).alias("level")), ended)
 
         def ended(x: Column) -> Column:
-            level = number(data, x["to"], 1) == 1
-            first = (x["to"] + F.when(level, 9).otherwise(1)).cast("int")
+            first = x["to"] + F.when(x["level"], 9).otherwise(1)
             each = F.sequence(F.lit(0), x["n"] - 1)
             tops = F.when(x["n"] > 1, F.transform(each, lambda i: number(data, (x["tops"] + 8 * i).cast("int"), 8).cast("int"))).otherwise(F.array(F.lit(255)))
-            out = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x["m"]), F.lit(1))), lambda i: i % 8 != 0), lambda i: F.substring(x["m"], i, F.lit(1)))
+            out = F.regexp_replace(x["m"], "(.{7}).", "$1")
             made = F.struct(
-                F.when(number(data, 0, 1) == 1, number(data, 1, 4).cast("int")).alias("tag"), F.array_join(out, "").alias("excluded"), x["scheme"].alias("scheme"), tops.alias("tops"),
-                F.when(level, number(data, x["to"] + 1, 7).cast("int")).alias("level"), F.transform(each, lambda i: number(data, first + 8 * i, 8).cast("int")).alias("control"),
+                F.when(number(data, 0, 1) == 1, number(data, 1, 4).cast("int")).alias("tag"), out.alias("excluded"), x["scheme"].alias("scheme"), tops.alias("tops"),
+                F.when(x["level"], number(data, x["to"] + 1, 7).cast("int")).alias("level"), F.transform(each, lambda i: number(data, first + 8 * i, 8).cast("int")).alias("control"),
             )
             return F.when(~x["lost"] & (8 * F.length(data) >= first + 8 * x["n"]), made)
 
