@@ -157,3 +157,16 @@ def test_streamed_reservoir_equals_the_batch(spark, tmp_path):
     got = _streamed(spark, tmp_path, batches, schema, lambda s: stateful.stream_reservoir(s, 150, 400))
     want = order.reservoir(spark.createDataFrame(rows, schema), 150, 400).collect()
     assert {(r.unit, r.sub, r.fullness) for r in got} == {(r.unit, r.sub, r.fullness) for r in want}
+
+
+def test_block_frames_are_python_values_a_run_at_a_time():
+    import pyarrow as pa
+
+    sizes, values, more = [], pa.array(range(3 * S.RUN + 1)), pa.array([], pa.int64())
+
+    def doubled(rows):
+        sizes.append(len(rows))
+        return [2 * v for v in rows]
+
+    out = list(S._runs(doubled, pa.int64(), iter([(values,), (more,), (values[:2],)])))
+    assert sizes == [S.RUN] * 3 + [1, 2] and pa.concat_arrays(out).to_pylist() == [2 * v for v in [*range(3 * S.RUN + 1), 0, 1]]

@@ -5,9 +5,8 @@ Files are read by Spark's own ``binaryFile`` source, so any store that Spark rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,6 +238,17 @@ def zero_from(data: Column, first: int) -> Column:
     return rest & F.coalesce(F.conv(F.hex(F.substring(data, start, 1)), 16, 10).cast("int").bitwiseAND(F.lit((1 << 8 - head) - 1)) == 0, F.lit(True))
 
 
+#: Rows that become Python values at once: a batch of 10,000 frames of 8 KB would lie there several times over.
+RUN = 1024
+
+
+def _runs(body: Callable[..., list], kind: pa.DataType, batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """``body``, lists to a list, of the batches' columns. These stay in Arrow's memory; RUN rows at a time are Python values, and go back before the next ones."""
+    for columns in batches:
+        for at in range(0, len(columns[0]), RUN):
+            yield pa.array(body(*[c.slice(at, RUN).to_pylist() for c in columns]), kind)
+
+
 def _positions(sizes: list[int]) -> bytes:
     at, out = 0, b""
     for n in sizes[:-1]:
@@ -253,8 +263,7 @@ def block_frames(payloads: Column, profile: int, rate_index: Column, channels: C
     A single payload follows the header's checksum as it is. Null if the frame doesn't fit its length field.
     """
 
-    @F.pandas_udf("binary")
-    def packed(rows: pd.Series, rates: pd.Series, layouts: pd.Series) -> pd.Series:
+    def packed(rows: list, rates: list, layouts: list) -> list:
         out, heads = [], []
         for blocks, rate, layout in zip(rows, rates, layouts, strict=True):
             sizes = [len(b) for b in blocks]
@@ -263,15 +272,18 @@ def block_frames(payloads: Column, profile: int, rate_index: Column, channels: C
             head = (0xFFF0 << 40) + (profile << 38) + (int(rate) << 34) + (int(layout) << 30) + (size << 13) + (0x7FF << 2) + len(sizes) - 1
             heads.append(head.to_bytes(HEADER, "big") + table if size <= LONGEST else None)
         checks = crcs([h or b"" for h in heads], *CRC16)
-        parts = [bytes(b) for blocks in rows for b in blocks]
-        ends = iter(crcs(parts, *CRC16).tolist())
+        ends = iter(crcs([b for blocks in rows for b in blocks], *CRC16).tolist())
         for blocks, head, check in zip(rows, heads, checks.tolist(), strict=True):
-            own = [(bytes(b), next(ends).to_bytes(2, "big")) for b in blocks]
+            own = [(b, next(ends).to_bytes(2, "big")) for b in blocks]
             body = own[0][0] if len(own) == 1 else b"".join(b + c for b, c in own)
             out.append(None if head is None else head + check.to_bytes(2, "big") + body)
-        return pd.Series(out)
+        return out
 
-    return packed(payloads, rate_index, channels)
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from _runs(packed, pa.binary(), batches)
+
+    return run(payloads, rate_index, channels)
 
 
 def raw_blocks(frames: Column) -> Column:
@@ -280,11 +292,9 @@ def raw_blocks(frames: Column) -> Column:
     A frame of one block passes as it is, its crc_ok is null; several blocks can be told apart only in a checked frame.
     """
 
-    @F.pandas_udf("array<struct<block: int, payload: binary, crc_ok: boolean, err: string>>")
-    def split(rows: pd.Series) -> pd.Series:
+    def split(rows: list) -> list:
         out, checks = [], []
         for frame in rows:
-            frame = bytes(frame)
             count, checked = (frame[6] & 3) + 1, not frame[1] & 1
             bad = lambda err: [{"block": None, "payload": None, "crc_ok": None, "err": err}]
             start = HEADER + 2 * (count - 1) + 2
@@ -305,9 +315,15 @@ def raw_blocks(frames: Column) -> Column:
                 out.append(made)
         for (made, want), got in zip(checks, crcs([m["payload"] for m, _ in checks], *CRC16).tolist(), strict=True):
             made["crc_ok"] = got == want
-        return pd.Series(out)
+        return out
+
+    kind = pa.list_(pa.struct([("block", pa.int32()), ("payload", pa.binary()), ("crc_ok", pa.bool_()), ("err", pa.string())]))
+
+    @F.arrow_udf("array<struct<block: int, payload: binary, crc_ok: boolean, err: string>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _runs(split, kind, ((column,) for column in batches))
 
-    return split(frames)
+    return run(frames)
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], key: str, data: str) -> Iterator[pa.RecordBatch]:
